@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matchloom.llm.fingerprints import op9_fingerprints
+from matchloom.llm.language_model import op2_lm_score
+from matchloom.llm.media import op7_media_gif
 from matchloom.llm.packing import op5_packing
 from matchloom.llm.sharding import op6_sharding
 from matchloom.llm.token_store import op4_token_ids
@@ -13,9 +16,12 @@ from matchloom.llm.token_store import op4_token_ids
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_lm_score": op2_lm_score,
         "op4_token_ids": op4_token_ids,
         "op5_packing": op5_packing,
         "op6_sharding": op6_sharding,
+        "op7_media_gif": op7_media_gif,
+        "op9_fingerprints": op9_fingerprints,
     }
 
 
