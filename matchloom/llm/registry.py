@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.llm.fingerprints import op9_fingerprints
+from matchloom.llm.jaccard import op8_ngram_jaccard
 from matchloom.llm.language_model import op2_lm_score
 from matchloom.llm.media import op7_media_gif
 from matchloom.llm.packing import op5_packing
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_sharding": op6_sharding,
         "op7_media_gif": op7_media_gif,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_fingerprints": op9_fingerprints,
     }
 
