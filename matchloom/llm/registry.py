@@ -11,13 +11,17 @@ from matchloom.llm.jaccard import op8_ngram_jaccard
 from matchloom.llm.language_model import op2_lm_score
 from matchloom.llm.media import op7_media_gif
 from matchloom.llm.packing import op5_packing
+from matchloom.llm.quality import op3_quality
 from matchloom.llm.sharding import op6_sharding
+from matchloom.llm.substring_dedup import op1_substring_dedup
 from matchloom.llm.token_store import op4_token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_lm_score": op2_lm_score,
+        "op3_quality": op3_quality,
         "op4_token_ids": op4_token_ids,
         "op5_packing": op5_packing,
         "op6_sharding": op6_sharding,
