@@ -10,6 +10,7 @@ from matchloom.llm.fingerprints import op9_fingerprints
 from matchloom.llm.jaccard import op8_ngram_jaccard
 from matchloom.llm.language_model import op2_lm_score
 from matchloom.llm.media import op7_media_gif
+from matchloom.llm.mixing import op10_mixing
 from matchloom.llm.packing import op5_packing
 from matchloom.llm.quality import op3_quality
 from matchloom.llm.sharding import op6_sharding
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_media_gif": op7_media_gif,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_fingerprints": op9_fingerprints,
+        "op10_mixing": op10_mixing,
     }
 
 
