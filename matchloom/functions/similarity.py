@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -31,8 +32,7 @@ def token_sort_similarity(a: str | None, b: str | None) -> float:
     return 2 * lcs_length(x, y) / (len(x) + len(y)) if x or y else 1.0
 
 
-@F.pandas_udf("double")
-def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _token_sort_batch(a: pd.Series, b: pd.Series) -> pd.Series:
     seen: dict[tuple, float] = {}
     out = []
     for pair in zip(a, b):
@@ -143,7 +143,14 @@ def _word_code(word: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
-def metaphone_code(text: pd.Series) -> pd.Series:
+def token_sort_ratio(a: Column | str, b: Column | str) -> Column:
+    return F.pandas_udf(_token_sort_batch, "double")(a, b)
+
+
+def _metaphone_batch(text: pd.Series) -> pd.Series:
     seen: dict = {}
     return pd.Series([seen[t] if t in seen else seen.setdefault(t, metaphone(t)) for t in text], dtype="object")
+
+
+def metaphone_code(text: Column | str) -> Column:
+    return F.pandas_udf(_metaphone_batch, "string")(text)

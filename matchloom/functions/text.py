@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _c(x: ColumnLike) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank(x: ColumnLike) -> Column:
     return F.coalesce(_c(x), F.lit(""))
 
@@ -29,6 +36,10 @@ def normalize_text(x: ColumnLike) -> Column:
 
 def format_g(x: Column) -> Column:
     """A number to six significant digits without trailing zeros, in exponent form from 1e6 and below 1e-4."""
+    return let(x, _format_g)
+
+
+def _format_g(x: Column) -> Column:
     rounded = F.format_string("%.5e", x)
     power = F.regexp_extract(rounded, r"e([+-]\d+)$", 1).try_cast("int")
     digits = F.regexp_replace(F.regexp_extract(rounded, r"^(-?[\d.]+)e", 1), r"\.?0+$", "")
@@ -43,7 +54,10 @@ def format_g(x: Column) -> Column:
 def normalize_quantity(x: ColumnLike) -> Column:
     """The amount in grams or millilitres as text, "N x M unit" multiplied out. A multipack has to start the text and name its unit in lower case; other amounts may
     stand anywhere in any case. Anything else is stripped and lower-cased. A number that can't be read gives null."""
-    text = blank(x)
+    return let(blank(x), _normalize_quantity)
+
+
+def _normalize_quantity(text: Column) -> Column:
     pack = r"^(\d+)\s*[xX]\s*([\d.]+)\s*(kg|g|l|ml)"
     single = r"(?i)([\d.]+)\s*(kg|g|l|ml)"
     is_pack = F.regexp_extract(text, pack, 1) != ""
