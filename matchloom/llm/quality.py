@@ -58,17 +58,17 @@ def _vote(value: float, bad_from: float, good_to: float) -> str:
     return BAD if value >= bad_from else GOOD if value <= good_to else NONE
 
 
-#: Each labeller by name. Several look at the same fault from different sides, so that their agreement tells how far each may be trusted.
+#: Each labeller by name. A text too short for a fault is good in that respect. Several look at the same fault from different sides, so that their agreement tells how far each may be trusted.
 LABELLERS = {
-    "shouting": lambda f: _vote(f["upper"], 0.5, 0.15) if f["n"] else NONE,
-    "exclaiming": lambda f: BAD if f["bangs"] >= 0.2 else NONE,
-    "symbols": lambda f: _vote(f["symbols"], 0.5, 0.1) if f["n"] else NONE,
-    "odd_ends": lambda f: BAD if f["odd_ends"] >= 0.25 else NONE,
+    "shouting": lambda f: GOOD if f["n"] < 5 else _vote(f["upper"], 0.5, 0.15),
+    "exclaiming": lambda f: BAD if f["n"] >= 5 and f["bangs"] >= 0.2 else NONE,
+    "symbols": lambda f: GOOD if f["n"] < 5 else _vote(f["symbols"], 0.5, 0.1),
+    "odd_ends": lambda f: BAD if f["n"] >= 5 and f["odd_ends"] >= 0.25 else NONE,
     "bars": lambda f: BAD if f["bars"] >= 0.15 else NONE,
-    "no_short_words": lambda f: NONE if f["n"] < 20 else BAD if f["short"] <= 0.1 else GOOD if f["short"] >= 0.2 else NONE,
-    "letters": lambda f: BAD if f["n"] and f["alpha"] < 0.6 else GOOD if f["alpha"] >= 0.75 else NONE,
-    "few_words": lambda f: NONE if f["n"] < 60 else BAD if f["distinct"] <= min(0.3, 6 / math.sqrt(f["n"])) and f["again"] >= 0.3 else GOOD if f["distinct"] >= 0.35 else NONE,
-    "same_runs": lambda f: NONE if f["n"] < 40 else _vote(f["again"], 0.4, 0.1),
+    "no_short_words": lambda f: GOOD if f["n"] < 20 else BAD if f["short"] <= 0.1 else GOOD if f["short"] >= 0.2 else NONE,
+    "letters": lambda f: GOOD if f["n"] < 40 else BAD if f["alpha"] < 0.6 else GOOD if f["alpha"] >= 0.75 else NONE,
+    "few_words": lambda f: GOOD if f["n"] < 60 else BAD if f["distinct"] <= min(0.3, 6 / math.sqrt(f["n"])) and f["again"] >= 0.3 else GOOD if f["distinct"] >= 0.35 else NONE,
+    "same_runs": lambda f: GOOD if f["n"] < 40 else _vote(f["again"], 0.4, 0.1),
     "same_lines": lambda f: BAD if f["line_again"] >= 0.4 else NONE,
 }
 
@@ -77,11 +77,11 @@ def votes(f: dict[str, float]) -> str:
     return "".join(vote(f) for vote in LABELLERS.values())
 
 
-def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], list[dict[str, tuple[float, float]]], float]:
+def estimate(patterns: dict[str, int], rounds: int = 200, anchor: float = 0.05) -> tuple[dict[str, float], list[dict[str, tuple[float, float]]], float]:
     """Expectation-maximisation over counted vote patterns. Returns each pattern's probability of good, each labeller's vote shares on (good, bad), and the share of good.
 
-    Votes are taken as independent given the class. It starts from labellers that are right more often than not, which also names the classes;
-    one pseudo-count a vote keeps every share above 0."""
+    Votes are taken as independent given the class; to have no vote is one of three. It starts from labellers that are right more often than not, which also names the classes;
+    they stay in as pseudo-counts of `anchor` times all rows, so that a fault which only two labellers see isn't taken for their mistake."""
     import numpy as np
 
     keys = sorted(patterns)
@@ -90,6 +90,7 @@ def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, flo
     codes = np.array([[letters.index(c) for c in k] for k in keys], int).reshape(len(keys), len(LABELLERS))
     share = np.empty((2, len(LABELLERS), 3))
     share[0], share[1] = (0.02, 0.58, 0.4), (0.35, 0.25, 0.4)
+    start, held = share.copy(), anchor * counts.sum() + 1
     prior = 0.85
     good = np.full(len(keys), prior)
     for _ in range(rounds):
@@ -99,7 +100,7 @@ def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, flo
         before, good = good, 1 / (1 + np.exp(np.clip(like[1] - like[0], -500, 500)))
         for c, weight in ((0, good * counts), (1, (1 - good) * counts)):
             for v in range(3):
-                share[c, :, v] = 1 + ((codes == v) * weight[:, None]).sum(axis=0)
+                share[c, :, v] = held * start[c, :, v] + ((codes == v) * weight[:, None]).sum(axis=0)
             share[c] /= share[c].sum(axis=1, keepdims=True)
         prior = min(max((good * counts).sum() + 1, 1) / (counts.sum() + 2), 1 - 1e-6)
         if len(keys) and np.abs(good - before).max() < 1e-9:
