@@ -282,11 +282,13 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int, buckets: int | No
     mixed = known.join(known.groupBy("gram").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("gram"), "gram")
     mixed = written(mixed, "mixed")
     x, y = (mixed.select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("id", "n", "pos", "c"))) for k in "12")
-    groups = mixed.select("gram", "c", "n").groupBy("gram", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    g1, g2 = (groups.select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("c", "lo", "hi"))) for k in "12")
-    across = g1.join(g2, "gram").filter("c1 < c2").filter(f"100 * hi1 >= {percent} * lo2 and 100 * hi2 >= {percent} * lo1").select("gram", "c1", "c2")
-    need = f"ceil({percent} * (n1 + n2) / {100 + percent})"
-    rest = across.join(x, ["gram", "c1"]).join(y, ["gram", "c2"]).filter(fits("n1", "n2")).filter(fits("n2", "n1")).filter(f"least(pos1, pos2) + least(n1 - pos1, n2 - pos2) >= {need}")
+    # Taken as the first gram that a pair shares, a gram leaves no more overlap than what follows it in either set; at the one that really is the first, no linked pair fails.
+    need = lambda n1, n2: f"ceil({percent} * ({n1} + {n2}) / {100 + percent})"
+    groups = mixed.groupBy("gram", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("left"))
+    g1, g2 = (groups.select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("c", "lo", "hi", "left"))) for k in "12")
+    across = g1.join(g2, "gram").filter("c1 < c2").filter(fits("hi1", "lo2")).filter(fits("hi2", "lo1")).filter(f"least(left1, left2) >= {need('lo1', 'lo2')}")
+    across = across.select("gram", "c1", "c2")
+    rest = across.join(x, ["gram", "c1"]).join(y, ["gram", "c2"]).filter(fits("n1", "n2")).filter(fits("n2", "n1")).filter(f"least(n1 - pos1, n2 - pos2) >= {need('n1', 'n2')}")
     rest = rest.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
     more = _multiply(rest, rows, percent, path)
     final = connected_components(linked.unionByName(more).unionByName(members.distinct()))
