@@ -144,7 +144,7 @@ def load_calibrator(spark: SparkSession, path: str):
     from pyspark.errors import AnalysisException
 
     try:
-        return calibration.from_json(spark.read.option("wholetext", True).text(path).first()["value"])
+        return calibration.from_json(spark.read.text(path, wholetext=True).first()["value"])
     except AnalysisException:
         return None
 
