@@ -25,9 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles are linked at 0.8 Jaccard or more: that of the least doc_id. Rows that repeat a doc_id are one."""
-    stays = jaccard_classes(docs, 5, 80).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")).distinct()
-    kept = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(stays, "_id")
-    return kept.withColumn("_n", F.row_number().over(W.partitionBy("_id").orderBy("text"))).filter("_n = 1").select(*docs.columns)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key")
+    stays = jaccard_classes(docs, 5, 80).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    kept = docs.select(key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")).join(stays, "key")
+    return kept.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("doc.text"))).filter("n = 1").select("doc.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Rows per Arrow batch: whole texts are large, so the default of 10,000 would fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -151,20 +151,19 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     A text that is taken whole stays as it is; of others, whole words with the white space behind them stay. n_chars, where there is one, is the length of the new
     text. Rows that repeat doc_id and text are laid out as often as they stand, and give one row a pass with the words of all. Documents of which nothing is taken, as
     empty ones, are left out. No Python takes part. An empty table gives an empty result."""
-    keyed = docs.withColumn("_t", F.xxhash64(F.col("text").cast("string"))).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), key("doc_id").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_t"))
     _, each, pieces = mix(docs, **how)
     some = pieces.join(each.select("_s", "block", "pass"), ["_s", "block"])
-    lists = some.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).groupBy("_id", "_t", "pass").agg(F.sort_array(F.collect_set(F.struct("_from", "_words"))).alias("_cuts"))  # a document's own blocks
-    joined = keyed.join(lists, ["_id", "_t"])
-    joined = joined.withColumn("_n", F.row_number().over(W.partitionBy("_id", "_t", "pass").orderBy(F.lit(1)))).filter("_n = 1")
-    words = F.regexp_extract_all("text", F.lit(WORD + SPACE + "*"), F.lit(0))
-    split = joined.withColumn("_taken", F.aggregate("_cuts", F.lit(0).cast("long"), lambda a, c: a + c["_words"].cast("long")))
-    whole = F.col("_taken") >= F.regexp_count("text", F.lit(WORD))
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.flatten(F.transform("_cuts", lambda c: F.slice(words, (c["_from"] + 1).cast("int"), c["_words"].cast("int")))), ""))
-    out = split.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    lists = some.groupBy(key("doc_id").alias("_id"), "_t", "pass").agg(F.sort_array(F.collect_set(F.struct("_from", "_words"))).alias("cuts"))  # a document's own blocks
+    joined = keyed.join(lists, ["_id", "_t"]).withColumn("_n", F.row_number().over(W.partitionBy("_id", "_t", "pass").orderBy(F.lit(1)))).filter("_n = 1")
+    text = F.col("doc.text").cast("string")
+    words = F.regexp_extract_all(text, F.lit(WORD + SPACE + "*"), F.lit(0))
+    taken = F.aggregate("cuts", F.lit(0).cast("long"), lambda a, c: a + c["_words"].cast("long"))
+    cut = F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(words, (c["_from"] + 1).cast("int"), c["_words"].cast("int")))), "")
+    made = joined.select("doc", F.when(taken >= F.regexp_count(text, F.lit(WORD)), text).otherwise(cut).alias("mixed"))
+    new = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return made.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

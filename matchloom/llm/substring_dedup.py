@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import documents, fresh_dir, map_flat, small_batches, write_flat, written
+from matchloom.llm.common import documents, free_name, fresh_dir, map_flat, small_batches, write_flat, written
 from matchloom.llm.jaccard import _WORDS, _raw
 from matchloom.llm.language_model import _blob_batch, _by_bucket, _mix, _unpacked
 
@@ -188,8 +188,9 @@ def drop_repeats(docs: DataFrame, min_line: int = MIN_LINE, min_run: int = MIN_R
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = fresh_dir(spark, "repeats")
     docs = docs.drop("n_words", "n_removed", "removed")
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-SIGN)))
-    found = _find(keyed.select(F.col("_key").alias("doc_id"), "text"), path, buckets, min_line)
+    own = free_name(docs, "_key")
+    keyed = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(-SIGN)))
+    found = _find(keyed.select(F.col(own).alias("doc_id"), "text"), path, buckets, min_line)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -198,7 +199,7 @@ def drop_repeats(docs: DataFrame, min_line: int = MIN_LINE, min_run: int = MIN_R
         files: dict[int, tuple] = {}
         for batch in batches:
             texts, rows = batch["text"].to_pylist(), []
-            keys = _key(np.ascontiguousarray(batch["_key"].to_numpy()))
+            keys = _key(np.ascontiguousarray(batch[own].to_numpy()))
             for i, (key, bucket) in enumerate(zip(keys, _doc_bucket(keys, buckets).tolist())):
                 units = Units((texts[i] or "").encode(), min_line)
                 spans = []
@@ -222,7 +223,7 @@ def drop_repeats(docs: DataFrame, min_line: int = MIN_LINE, min_run: int = MIN_R
                 else:
                     rows.append((units.n, 0, ""))
             columns = list(zip(*rows)) or [()] * 3
-            arrays = {name: batch[name] for name in batch.schema.names if name != "_key"} | {"text": pa.array(texts, pa.string())}
+            arrays = {name: batch[name] for name in batch.schema.names if name != own} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays([*arrays.values(), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string())))], names=[*arrays, "n_words", "n_removed", "removed"])
 
     from pyspark.sql import types as T

@@ -190,10 +190,10 @@ def test_blocks_are_drawn_evenly(spark):
 
 def test_mixed_documents_hold_what_was_taken(spark):
     rows, df = docs(spark)
-    unique = df.dropDuplicates(["doc_id", "text"])
+    unique = df.dropDuplicates(["doc_id", "text"]).selectExpr("*", "9 as pass", "'x' as _t", "1 as _n")
     taken = {r["doc_id"]: r["taken"] for r in mix(unique, block=8)[0].collect()}
     out = mixed_documents(unique, block=8)
-    assert out.columns == df.columns
+    assert out.columns == unique.columns
     got, text = Counter(), {r[0]: r[1] for r in rows if r[0] != 105}
     for r in out.collect():
         got[r["doc_id"]] += len(words(r["text"]))
