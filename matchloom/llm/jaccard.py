@@ -299,3 +299,26 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int, buckets: int | No
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir), 3, 90)
+
+
+#: The same by a plain self-join and reachability, for tables of a few thousand documents.
+OP8_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g from w
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+), l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 90 * (x.n + y.n - o)
+), e as (
+  select a, b from l union all select b, a from l
+), c as (
+  select doc_id as id, doc_id as comp from documents union select e.b, c.comp from c join e on e.a = c.id
+), m as (
+  select id, min(comp) as comp from c group by id
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.comp as component_id from documents d join m on m.id = d.doc_id left join n on n.doc_id = d.doc_id
+"""

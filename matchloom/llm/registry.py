@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.llm.fingerprints import op9_fingerprints
-from matchloom.llm.jaccard import op8_ngram_jaccard
+from matchloom.llm.jaccard import OP8_SQL, op8_ngram_jaccard
 from matchloom.llm.language_model import op2_lm_score
 from matchloom.llm.media import op7_media_gif
 from matchloom.llm.mixing import op10_mixing
@@ -34,4 +34,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has no model, tokenizer, codec or seeded draw; of the ten it can state the join."""
+    return {"op8_ngram_jaccard": OP8_SQL}
