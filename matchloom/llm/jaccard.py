@@ -247,7 +247,7 @@ def _multiply(pairs: DataFrame, rows: DataFrame, percent: int, path: str) -> Dat
             columns = list(zip(*out)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
-    return placed.repartition("file", F.pmod(F.xxhash64("a", "b"), F.lit(8))).sortWithinPartitions("file", "file2").mapInArrow(run, "a long, b long")
+    return placed.repartition("file", F.pmod(F.xxhash64("a", "b"), F.lit(64))).sortWithinPartitions("file", "file2").mapInArrow(run, "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, width: int, percent: int, buckets: int | None = None) -> DataFrame:
