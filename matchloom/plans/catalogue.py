@@ -406,11 +406,19 @@ def q_platt_fit(spark, sf):
     return spark.range(1).select(F.round(F.lit(fit.a), 6).alias("a"), F.round(F.lit(fit.b), 6).alias("b"))
 
 
-@query()
+#: Each point's step is the largest, over starts before it, of the smallest mean up to any end after it.
+_ISOTONIC = f"""{_EVAL}, pts as (select p, sum(quality)::double as s, count(*)::double as w, row_number() over (order by p) as k from scores group by p),
+acc as (select k, p, sum(s) over (order by k) as cs, sum(w) over (order by k) as cw, s, w from pts),
+spans as (select a.k as j, b.k as l, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) as m from acc a join acc b on b.k >= a.k),
+low as (select j, l as k, min(m) over (partition by j order by l desc) as m from spans),
+fit as (select k, max(m) as fitted from low group by k)"""
+
+
+@query(f"with {_ISOTONIC} select round(p, 9) as p, round(fitted, 9) as fitted from fit join pts using (k)")
 def q_isotonic_fit(spark, sf):
-    fit = C.fit_isotonic(_scores(spark, sf), "p", "quality")
-    rows = F.arrays_zip(F.array(*map(F.lit, fit.x)).alias("x"), F.array(*map(F.lit, fit.y)).alias("y"))
-    return spark.range(1).select(F.posexplode(rows).alias("knot", "k")).select("knot", F.round("k.x", 9).alias("x"), F.round("k.y", 9).alias("y"))
+    rows = _scores(spark, sf)
+    fit = C.fit_isotonic(rows, "p", "quality")
+    return rows.select("p").distinct().select(F.round("p", 9).alias("p"), F.round(fit(F.col("p")), 9).alias("fitted"))
 
 
 def _bands_sql(auto: str) -> str:
