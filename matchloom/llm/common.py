@@ -49,15 +49,33 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, scratch: Scratch | None = None) -> DataFrame:
     """df as a table in the shared folder: lineage ends here, and a lost executor costs one reread."""
     spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    out = df if partitions is None else df.coalesce(partitions)
-    out.write.option("compression", "zstd").parquet(path)
+    path = scratch.dir(name) if scratch else fresh_dir(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Folders of one operator's drafts, which go when its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def dir(self, name: str) -> str:
+        self.paths.append(fresh_dir(self.spark, name))
+        return self.paths[-1]
+
+    def clear(self) -> None:
+        """Through Spark's own file systems, so that any shared store will do."""
+        jvm = self.spark._jvm
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths.clear()
+
+
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A bounded driver-made table as a literal: no RDD and no Python worker reads it."""
     import json
@@ -94,8 +112,3 @@ def map_flat(uri: str, dtype):
                 local.write(block)
         local.flush()
         return np.memmap(local, dtype=dtype, mode="r") if local.tell() else np.empty(0, dtype)
-
-
-def remove_dir(uri: str) -> None:
-    files, path = _filesystem(uri)
-    files.delete_dir(path)

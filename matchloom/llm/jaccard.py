@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import documents, fresh_dir, map_flat, small_batches, write_flat, written
+from matchloom.llm.common import Scratch, documents, map_flat, small_batches, write_flat, written
 from matchloom.llm.components import connected_components
 
 #: Counters of the document-frequency sketch (a power of two); a collision only changes the order of grams, never a result.
@@ -143,7 +143,51 @@ def _sets(docs: DataFrame, width: int, percent: int, path: str) -> DataFrame:
     return _raw(docs).mapInArrow(run, "doc_id long, n long, signature binary, prefix array<long>")
 
 
-def _store_rows(docs: DataFrame, wanted: DataFrame, width: int, path: str, buckets: int) -> DataFrame:
+def _shared_postings(one: DataFrame, path: str, buckets: int, scratch: Scratch) -> DataFrame:
+    """(id, n, pos, gram) of the prefix grams that more than one set has.
+
+    Which these are is told by counts alone; the workers then map them as sorted arrays and look their own grams up, so the many grams of one set are exchanged
+    once and without their places."""
+    counts = one.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("holders")).filter("holders > 1")
+
+    def sort_grams(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        write_flat(f"{path}/shared-{key[0].as_py()}", np.sort(table["gram"].to_numpy()).astype("<i8").tobytes())
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32())})
+
+    bucketed = counts.select(F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket"), "gram")
+    found = {r["bucket"] for r in bucketed.groupBy("bucket").applyInArrow(sort_grams, "bucket int").collect()}  # a row a bucket
+
+    def look_up(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        lists: dict = {}
+        for batch in batches:
+            prefix = batch["prefix"]
+            grams = np.asarray(prefix.flatten(), np.int64)
+            counted = np.asarray(prefix.value_lengths(), np.int64)
+            row = np.repeat(np.arange(len(counted)), counted)
+            pos = np.arange(len(grams)) - np.repeat(np.cumsum(counted) - counted, counted)
+            keep = np.zeros(len(grams), bool)
+            bucket = grams % buckets
+            order = np.argsort(bucket, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+                b = int(bucket[own[0]])
+                if b in found:
+                    if b not in lists:
+                        lists[b] = map_flat(f"{path}/shared-{b}", "<i8")
+                    at = np.minimum(np.searchsorted(lists[b], grams[own]), len(lists[b]) - 1)
+                    keep[own] = lists[b][at] == grams[own]
+            ids, n = batch["doc_id"].to_numpy(), batch["n"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row[keep]]), pa.array(n[row[keep]]), pa.array(pos[keep].astype(np.int32)), pa.array(grams[keep])], names=["id", "n", "pos", "gram"])
+
+    return written(one.select("doc_id", "n", "prefix").mapInArrow(look_up, "id long, n long, pos int, gram long"), "postings", scratch)
+
+
+def _store_rows(docs: DataFrame, wanted: DataFrame, width: int, path: str, buckets: int, scratch: Scratch) -> DataFrame:
     """Stores the incidence rows of the wanted documents, a file for each input partition, and returns where each lies.
 
     The wanted ids go to the workers as sorted arrays in files, so no text is exchanged."""
@@ -201,7 +245,7 @@ def _store_rows(docs: DataFrame, wanted: DataFrame, width: int, path: str, bucke
     with_bucket = _raw(docs).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
     stored = with_bucket.mapInArrow(run, "id long, file string, at long, n long")
     # A row that repeats a doc_id stores its set again; any one with the signature's size serves, so the least place is kept.
-    return written(stored.groupBy("id").agg(F.min(F.struct("file", "at", "n")).alias("s")).select("id", "s.*"), "incidence")
+    return written(stored.groupBy("id").agg(F.min(F.struct("file", "at", "n")).alias("s")).select("id", "s.*"), "incidence", scratch)
 
 
 def overlap(x, y, percent: int, stretch: int = 4096) -> bool:
@@ -259,28 +303,28 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int, buckets: int | No
     spark = docs.sparkSession
     small_batches(spark, 1024)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = fresh_dir(spark, "jaccard")
+    scratch = Scratch(spark)
+    path = scratch.dir("jaccard")
     nobody = -(1 << 63)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(nobody)).alias("doc_id"), "text")
     _sketch(docs, width, path)
-    sets = written(_sets(docs, width, percent, path), "sets")
+    sets = written(_sets(docs, width, percent, path), "sets", scratch)
     some = sets.filter("n > 0")
     classes = some.groupBy("signature").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     members = some.select("doc_id", "signature").join(classes.filter("copies > 1"), "signature").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # One row a class: the prefix of its representative.
     one = some.join(classes.select("signature", "rep"), "signature").filter("doc_id = rep")
-    postings = one.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "gram"))
-    shared = postings.groupBy("gram").agg(F.count("*").alias("holders"), F.min("id").alias("first")).filter("holders > 1").select("gram", "first")
-    hot = written(postings.join(shared, "gram"), "postings")
-    rows = _store_rows(docs, hot.select("id").distinct(), width, path, buckets)
+    hot = _shared_postings(one, path, buckets, scratch)
+    hot = hot.join(hot.groupBy("gram").agg(F.min("id").alias("first")), "gram")
+    rows = _store_rows(docs, hot.select("id").distinct(), width, path, buckets, scratch)
     fits = lambda n1, n2: f"100 * {n1} >= {percent} * {n2}"
     stars = hot.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    linked = written(_multiply(stars, rows, percent, path), "links")
-    joined = connected_components(linked)
+    linked = written(_multiply(stars, rows, percent, path), "links", scratch)
+    joined = connected_components(linked, scratch)
     # What is left: pairs that share a prefix gram across different components.
     known = hot.select("gram", "id", "n", "pos").join(joined, "id", "left").select("gram", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
     mixed = known.join(known.groupBy("gram").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("gram"), "gram")
-    mixed = written(mixed, "mixed")
+    mixed = written(mixed, "mixed", scratch)
     x, y = (mixed.select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("id", "n", "pos", "c"))) for k in "12")
     # Taken as the first gram that a pair shares, a gram leaves no more overlap than what follows it in either set; at the one that really is the first, no linked pair fails.
     need = lambda n1, n2: f"ceil({percent} * ({n1} + {n2}) / {100 + percent})"
@@ -291,10 +335,12 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int, buckets: int | No
     rest = across.join(x, ["gram", "c1"]).join(y, ["gram", "c2"]).filter(fits("n1", "n2")).filter(fits("n2", "n1")).filter(f"least(n1 - pos1, n2 - pos2) >= {need('n1', 'n2')}")
     rest = rest.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
     more = _multiply(rest, rows, percent, path)
-    final = connected_components(linked.unionByName(more).unionByName(members.distinct()))
+    final = connected_components(linked.unionByName(more).unionByName(members.distinct()), scratch)
     out = sets.join(final, sets["doc_id"] == final["id"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
     null = lambda c: F.when(F.col(c) != nobody, F.col(c)).alias(c)
-    return out.select(null("doc_id"), F.col("n").alias("n_shingles"), null("component_id"))
+    result = written(out.select(null("doc_id"), F.col("n").alias("n_shingles"), null("component_id")), "classes")
+    scratch.clear()
+    return result
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import documents, free_name, fresh_dir, map_flat, small_batches, write_flat, written
+from matchloom.llm.common import Scratch, documents, free_name, fresh_dir, map_flat, small_batches, write_flat, written
 from matchloom.llm.jaccard import _WORDS, _raw
 from matchloom.llm.language_model import _blob_batch, _by_bucket, _mix, _unpacked
 
@@ -153,10 +153,13 @@ def _find(docs: DataFrame, path: str, buckets: int, min_line: int) -> set[int]:
             write_flat(f"{path}/cut-{bucket}.{name}", column[order].astype("<u8").tobytes())
         return pa.table({"bucket": pa.array([bucket], pa.int32())})
 
-    scanned = written(docs.transform(_raw).mapInArrow(scan, "bucket int, n long, blob binary, sure boolean"), "units")
+    scratch = Scratch(docs.sparkSession)
+    scanned = written(docs.transform(_raw).mapInArrow(scan, "bucket int, n long, blob binary, sure boolean"), "units", scratch)
     compared = scanned.filter("not sure").select("bucket", "n", "blob").groupBy("bucket").applyInArrow(compare, "bucket int, n long, blob binary")
     everything = compared.unionByName(scanned.filter("sure").select("bucket", "n", "blob"))
-    return {r["bucket"] for r in everything.groupBy("bucket").applyInArrow(store, "bucket int").collect()}  # a row a bucket
+    found = {r["bucket"] for r in everything.groupBy("bucket").applyInArrow(store, "bucket int").collect()}  # a row a bucket
+    scratch.clear()
+    return found
 
 
 def cut_spans(units: Units, lost: dict[int, int], min_run: int) -> list[tuple[int, int]]:
