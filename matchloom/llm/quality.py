@@ -8,6 +8,7 @@ sample; the scorer then judges every document.
 
 from __future__ import annotations
 
+import codecs
 import math
 import zlib
 from collections import Counter
@@ -22,35 +23,46 @@ from matchloom.llm.common import documents, small_batches
 SLOTS, SAMPLE = 1 << 15, 20_000
 #: What a vote pattern's letters say.
 BAD, GOOD, NONE = "b", "g", "-"
-SYMBOLS = frozenset("#$%&*@^~<>{}[]=+\\_/`")
+SYMBOLS = b"#$%&*@^~<>{}[]=+\\_/`"
+
+# Texts are taken as one byte a code point: Latin-1 letters by their own, all that is beyond as a small letter. Counts are then those of byte strings.
+_UPPER = bytes(c for c in range(256) if chr(c).isupper())
+_LOWER = bytes(c for c in range(256) if chr(c).isalpha() and not chr(c).isupper())
+_CLASSES = bytes(ord("a") if c in _UPPER + _LOWER else ord("#") if c in SYMBOLS else ord(".") if c in b".!?:" else ord(" ") if c in b" \t\n\x0b\x0c\r" else ord("-") for c in range(256))
+_SHAPES = bytes(ord("A") if c in _UPPER else ord("a") if c in _LOWER else ord("0") if c in b"0123456789" else c for c in range(256))
+codecs.register_error("small_letter", lambda e: ("x" * (e.end - e.start), e.end))
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("latin-1", "small_letter")
 
 
 def figures(text: str) -> dict[str, float]:
     """Figures of a whole text, each a share or a mean."""
-    words = text.split()
+    data = _bytes(text)
+    words = data.split()
     n = len(words)
-    letters = sum(map(str.isalpha, text))
-    upper = sum(map(str.isupper, text))
-    symbols = sum(map(text.count, SYMBOLS))
-    lines = [x for x in map(str.strip, text.split("\n")) if x]
-    distinct = len(set(words))
-    runs = Counter(zip(words, words[1:], words[2:]))
-    bangs = text.count("!!")
-    spelled = [w for w in words if w.isalpha()]
+    count = lambda what: len(data) - len(data.translate(None, what))
+    upper = count(_UPPER)
+    letters = upper + count(_LOWER)
+    classes = data.translate(_CLASSES) + b" "
+    kinds = classes.split()
+    bars = words.count(b"|") + words.count(b"-") + words.count(b"*")
+    lines = [x for x in map(bytes.strip, data.split(b"\n")) if x]
     return {
         "n": n,
         "upper": upper / letters if letters else 0.0,
-        "alpha": letters / max(1, len(text)),
-        "bangs": bangs / n if n else 0.0,
-        "symbols": symbols / n if n else 0.0,
-        "odd_ends": sum(w[-1] in SYMBOLS for w in words) / n if n else 0.0,
-        "bars": (words.count("|") + words.count("-") + words.count("*")) / n if n else 0.0,
-        "ends": sum(w[-1] in ".!?:" for w in words) / n if n else 0.0,
-        "distinct": distinct / n if n else 1.0,
-        "again": sum(c for c in runs.values() if c > 1) / max(1, n - 2),
+        "alpha": letters / max(1, len(data)),
+        "bangs": data.count(b"!!") / n if n else 0.0,
+        "symbols": count(SYMBOLS) / n if n else 0.0,
+        "odd_ends": classes.count(b"# ") / n if n else 0.0,
+        "bars": bars / n if n else 0.0,
+        "ends": classes.count(b". ") / n if n else 0.0,
+        "distinct": len(set(words)) / n if n else 1.0,
+        "again": 1 - len(set(zip(words, words[1:], words[2:]))) / (n - 2) if n > 2 else 0.0,
         "line_again": 1 - len(set(lines)) / len(lines) if lines else 0.0,
         "length": letters / n if n else 0.0,
-        "short": sum(len(w) <= 3 for w in spelled) / len(spelled) if spelled else 0.5,
+        "short": (kinds.count(b"a") + kinds.count(b"aa") + kinds.count(b"aaa")) / max(1, n - bars),
     }
 
 
@@ -67,8 +79,9 @@ LABELLERS = {
     "bars": lambda f: BAD if f["bars"] >= 0.15 else NONE,
     "no_short_words": lambda f: GOOD if f["n"] < 20 else BAD if f["short"] <= 0.1 else GOOD if f["short"] >= 0.2 else NONE,
     "letters": lambda f: GOOD if f["n"] < 40 else BAD if f["alpha"] < 0.6 else GOOD if f["alpha"] >= 0.75 else NONE,
-    "few_words": lambda f: GOOD if f["n"] < 60 else BAD if f["distinct"] <= min(0.3, 6 / math.sqrt(f["n"])) and f["again"] >= 0.3 else GOOD if f["distinct"] >= 0.35 else NONE,
-    "same_runs": lambda f: GOOD if f["n"] < 40 else _vote(f["again"], 0.4, 0.1),
+    "few_words": lambda f: GOOD if f["n"] < 60 else BAD if f["distinct"] <= min(0.3, 6 / math.sqrt(f["n"])) and f["again"] >= 0.2 else GOOD if f["distinct"] >= 0.35 else NONE,
+    "same_runs": lambda f: GOOD if f["n"] < 40 else _vote(f["again"], 0.3, 0.08),
+    "looped": lambda f: BAD if f["n"] >= 40 and f["again"] >= 0.5 else NONE,
     "same_lines": lambda f: BAD if f["line_again"] >= 0.4 else NONE,
 }
 
@@ -89,7 +102,7 @@ def estimate(patterns: dict[str, int], rounds: int = 200, anchor: float = 0.05)
     letters = (BAD, GOOD, NONE)
     codes = np.array([[letters.index(c) for c in k] for k in keys], int).reshape(len(keys), len(LABELLERS))
     share = np.empty((2, len(LABELLERS), 3))
-    share[0], share[1] = (0.02, 0.58, 0.4), (0.35, 0.25, 0.4)
+    share[0], share[1] = (0.01, 0.59, 0.4), (0.35, 0.25, 0.4)
     start, held = share.copy(), anchor * counts.sum() + 1
     prior = 0.85
     good = np.full(len(keys), prior)
@@ -109,29 +122,25 @@ def estimate(patterns: dict[str, int], rounds: int = 200, anchor: float = 0.05)
     return dict(zip(keys, good.tolist())), tables, float(prior)
 
 
-_shapes: dict[str, int] = {}
+_shapes: dict[bytes, int] = {}
 
 
-def _shape(word: str) -> int:
-    """The slot of a word's shape: kinds of characters with repeats joined, and its last character if that is no letter."""
-    out = []
-    for c in word:
-        kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != kind:
-            out.append(kind)
-    return zlib.crc32(f"{''.join(out[:8])}:{min(len(word), 16) // 4}".encode()) % SLOTS
+def _shape(word: bytes) -> int:
+    """The slot of a word's shape: kinds of characters with repeats joined, and about how long it is."""
+    out = b"".join(word[i : i + 1] for i in range(len(word)) if i == 0 or word[i] != word[i - 1])[:8]
+    return zlib.crc32(out + b":%d" % (min(len(word), 16) // 4)) % SLOTS
 
 
 def features(text: str, f: dict[str, float]) -> tuple[list[int], list[float]]:
-    """Slots and values of a document: shares of word shapes, of pairs of shapes at line ends, and bins of all figures."""
+    """Slots and values of a document: shares of word shapes and bins of all figures."""
     if len(_shapes) > 300_000:
         _shapes.clear()
     counts: Counter = Counter()
-    for word in text.split():
+    for word, k in Counter(_bytes(text).translate(_SHAPES).split()).items():
         slot = _shapes.get(word)
         if slot is None:
             slot = _shapes[word] = _shape(word)
-        counts[slot] += 1
+        counts[slot] += k
     n = max(1, f["n"])
     out: Counter = Counter({slot: math.sqrt(c / n) for slot, c in counts.items()})
     for name, value in f.items():
