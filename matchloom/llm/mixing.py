@@ -21,7 +21,7 @@ from matchloom.llm.common import SPACE, WORD, documents, small_table, written
 from matchloom.llm.sharding import communication_matrix
 
 #: Words of a block, rounds of the permutation, output shards, and hashed parts of a source, which bound what one task orders.
-BLOCK, ROUNDS, SHARDS, PARTS = 64, 24, 16, 1024
+BLOCK, ROUNDS, SHARDS, PARTS = 64, 16, 16, 1024
 
 
 def weights_in_turn(k: int) -> float:
@@ -107,7 +107,9 @@ def slots(spark: SparkSession, sources: list[dict], drawn: list[dict]) -> DataFr
     # Long ranges are cut first, so that one source's slots are no single row's doing.
     step = 1 << 14
     ranges = dealt.select("_s", "shard", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("at"))
-    ranges = ranges.repartition(F.col("_s"), F.col("shard"), F.col("at"))
+    # An explicit number: a few ranges of a few bytes would else be read by one task, which then makes all slots.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(d["n"] for d in drawn) // (8 * step)))
+    ranges = ranges.repartition(tasks, F.col("_s"), F.col("shard"), F.col("at"))
     each = ranges.select("_s", "shard", F.explode(F.sequence(F.col("first") + F.col("at"), F.col("first") + F.least(F.col("at") + step, F.col("n")) - 1)).alias("slot"))
     placed = each.join(known, "_s")
     return placed.select("_s", "shard", "slot", permuted(F.pmod("slot", F.col("_blocks")), F.col("_blocks"), F.col("_seed")).alias("block"), F.floor(F.col("slot") / F.col("_blocks")).cast("int").alias("pass"))
