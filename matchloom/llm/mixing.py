@@ -101,7 +101,8 @@ SOURCE = "_s string, source_size bigint, target double, _blocks bigint, _slots b
 
 
 def slots(spark: SparkSession, sources: list[dict], drawn: list[dict]) -> DataFrame:
-    """A row for each slot of the mix: source, shard, slot within the source, block and pass (0 for the first)."""
+    """A row for each slot of the mix: source, shard, slot within the source, block and pass (0 for the first). Spark takes it for as small as the table it is made from, so
+    joins with it have to name their way, or they would broadcast it."""
     known = F.broadcast(small_table(spark, sources, SOURCE).filter("_slots > 0"))  # a row a source
     dealt = small_table(spark, drawn, "_s string, shard int, first bigint, n bigint")
     # Long ranges are cut first, so that one source's slots are no single row's doing.
@@ -136,14 +137,14 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = weights_in_turn, share
     each = slots(spark, sources, drawn)
     pieces = _pieces(laid.select("doc_id", "_s", "_t", "size", "_off"), block).select("doc_id", "_s", "_t", "size", "_off", "block", "_from", "_words")
     times = each.groupBy("_s", "block").agg(F.count("*").alias("_times"))
-    taken = pieces.join(times, ["_s", "block"]).groupBy("_s", "_off").agg(F.sum(F.col("_words") * F.col("_times")).alias("taken"))
+    taken = pieces.join(times.hint("merge"), ["_s", "block"]).groupBy("_s", "_off").agg(F.sum(F.col("_words") * F.col("_times")).alias("taken"))
     known = F.broadcast(small_table(spark, sources, SOURCE).select("_s", "source_size", "target"))
     return _with_taken(laid, taken).join(known, "_s").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), each, pieces
 
 
 def _with_taken(laid: DataFrame, taken: DataFrame) -> DataFrame:
     """By place in the source, which no two documents with words share; those without words have taken none."""
-    some = laid.filter("size > 0").join(taken, ["_s", "_off"], "left")
+    some = laid.filter("size > 0").join(taken.hint("merge"), ["_s", "_off"], "left")
     return some.unionByName(laid.filter("size = 0"), allowMissingColumns=True)
 
 
@@ -156,9 +157,9 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), key("doc_id").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_t"))
     _, each, pieces = mix(docs, **how)
-    some = pieces.join(each.select("_s", "block", "pass"), ["_s", "block"])
+    some = pieces.join(each.select("_s", "block", "pass").hint("merge"), ["_s", "block"])
     lists = some.groupBy(key("doc_id").alias("_id"), "_t", "pass").agg(F.sort_array(F.collect_set(F.struct("_from", "_words"))).alias("cuts"))  # a document's own blocks
-    joined = keyed.join(lists, ["_id", "_t"]).withColumn("_n", F.row_number().over(W.partitionBy("_id", "_t", "pass").orderBy(F.lit(1)))).filter("_n = 1")
+    joined = keyed.join(lists.hint("merge"), ["_id", "_t"]).withColumn("_n", F.row_number().over(W.partitionBy("_id", "_t", "pass").orderBy(F.lit(1)))).filter("_n = 1")
     text = F.col("doc.text").cast("string")
     words = F.regexp_extract_all(text, F.lit(WORD + SPACE + "*"), F.lit(0))
     taken = F.aggregate("cuts", F.lit(0).cast("long"), lambda a, c: a + c["_words"].cast("long"))
