@@ -86,17 +86,19 @@ def rank_candidates(queries: DataFrame, catalog: DataFrame, k: int = 3, weights:
     bound is out, so the edit similarity is worked out only for those that can; none that belongs in the result is lost."""
     w_text, w_sound, w_vector, w_code = weights
     index = TfidfIndex(catalog, "master_id", blob("brand", "product_name"))
-    asked = queries.select("query_id", F.col("brand").alias("q_brand"), F.col("name").alias("q_name"), F.col("gtin").alias("q_gtin"), blob("brand", "name").alias("q_blob"), metaphone_code(T.blank("brand")).alias("q_code"))
-    rows = catalog.select("master_id", F.col("brand").alias("c_brand"), F.col("product_name").alias("c_name"), F.col("gtin").alias("c_gtin"), blob("brand", "product_name").alias("c_blob"), metaphone_code(T.blank("brand")).alias("c_code"))
-    near = index.similarities(asked.select(F.col("q_blob").alias("text"))).select(F.col("query_text").alias("q_blob"), F.col("text").alias("c_blob"), F.col("similarity").alias("vector"))
-    pairs = rows.join(asked, F.lit(True)).join(near, ["q_blob", "c_blob"], "left")
-    sound = F.when((T.blank("q_brand") == "") | (T.blank("c_brand") == ""), F.lit(0.0)).when(F.col("q_code") == F.col("c_code"), F.lit(1.0)).otherwise(F.lit(0.0))
-    cheap = pairs.withColumn("vector", F.coalesce("vector", F.lit(0.0))).withColumn("phonetic", sound).withColumn("barcode", B.gtin_similarity("q_gtin", "c_gtin"))
+    raw = lambda b, n: F.lower(F.concat(T.blank(b), F.lit(" "), T.blank(n)))
+    # Texts are joined by their hashes: pairs are many, and so stay a few numbers wide until the bound has done its work.
+    asked = queries.select("query_id", F.col("gtin").alias("q_gtin"), F.xxhash64(blob("brand", "name")).alias("q_hash"), metaphone_code(T.blank("brand")).alias("q_code"), (T.blank("brand") != "").alias("q_named"))
+    rows = catalog.select("master_id", F.col("gtin").alias("c_gtin"), F.xxhash64(blob("brand", "product_name")).alias("c_hash"), metaphone_code(T.blank("brand")).alias("c_code"), (T.blank("brand") != "").alias("c_named"))
+    near = index.similarities(queries.select(blob("brand", "name").alias("text"))).select(F.xxhash64("query_text").alias("q_hash"), F.xxhash64("text").alias("c_hash"), F.col("similarity").alias("vector"))
+    sound = F.when(F.col("q_named") & F.col("c_named") & (F.col("q_code") == F.col("c_code")), F.lit(1.0)).otherwise(F.lit(0.0))
+    pairs = rows.join(asked, F.lit(True)).select("query_id", "master_id", "q_hash", "c_hash", sound.alias("phonetic"), B.gtin_similarity("q_gtin", "c_gtin").alias("barcode"))
+    cheap = pairs.join(near, ["q_hash", "c_hash"], "left").withColumn("vector", F.coalesce("vector", F.lit(0.0))).drop("q_hash", "c_hash")
     cheap = cheap.withColumn("_part", w_sound * F.col("phonetic") + w_vector * F.col("vector") + w_code * F.col("barcode"))
     bound = top(cheap.select("query_id", "master_id", "_part"), "query_id", "_part", "master_id", k).groupBy("query_id").agg(F.min("_part").alias("_least"))
     able = cheap.join(bound, "query_id").filter(F.col("_part") + w_text + 1e-9 >= F.col("_least"))
-    raw = lambda b, n: F.lower(F.concat(T.blank(b), F.lit(" "), T.blank(n)))
-    scored = able.withColumn("text", token_sort_ratio(raw("q_brand", "q_name"), raw("c_brand", "c_name")))
+    able = able.join(queries.select("query_id", raw("brand", "name").alias("q_text")), "query_id").join(catalog.select("master_id", raw("brand", "product_name").alias("c_text")), "master_id")
+    scored = able.withColumn("text", token_sort_ratio("q_text", "c_text"))
     scored = scored.withColumn("combined", w_text * F.col("text") + w_sound * F.col("phonetic") + w_vector * F.col("vector") + w_code * F.col("barcode"))
     return top(scored, "query_id", "combined", "master_id", k).select("query_id", "rank", "master_id", "combined", "text", "phonetic", "vector", "barcode")
 
