@@ -98,20 +98,20 @@ def completions(left: dict[int, int], lengths: list[int], first: int, capacity:
         steps += 1
         at = bisect.bisect_right(lengths, min(room, top)) - 1
         grew = False
-        while at >= 0 and len(found) < most and steps < 50 * most:
+        while at >= 0 and len(found) < most and steps < 20 * most:
             n = lengths[at]
             if left[n] - chosen.count(n) - (n == first) > 0:
                 grew = True
                 extend([*chosen, n], room - n, n)
             at -= 1
-        if (not grew or steps >= 50 * most) and undominated(chosen, room):
+        if (not grew or steps >= 20 * most) and undominated(chosen, room):
             found.append((room, tuple(chosen)))
 
     extend([], capacity - first, capacity)
     return [x for _, x in sorted(set(found))] or [()]
 
 
-def complete(counts: dict[int, int], capacity: int, nodes: int = 4000, width: int = 24) -> tuple[Runs, int]:
+def complete(counts: dict[int, int], capacity: int, nodes: int = 2000, width: int = 6) -> tuple[Runs, int]:
     """Sequences and the proven lower bound of their number. `nodes` and `width` bound the search, never the pieces: at the end of the budget the best
     solution found stands, and its distance to the bound is known."""
     counts = {n: c for n, c in counts.items() if c}

@@ -8,12 +8,13 @@ punctuation that ends it, without changing its ids; each distinct piece is encod
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 #: Entries that a worker keeps of whole pieces and of what they are made of; beyond it starts anew.
-KEPT_PIECES, KEPT_CORES = 300_000, 600_000
+KEPT_PIECES, KEPT_CORES = 600_000, 1_600_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -26,30 +27,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
         """One for each worker process and vocabulary."""
         return _encoders.get(path) or _encoders.setdefault(path, cls(path))
 
-    def _encode_new(self, new: list[str]) -> None:
-        import numpy as np
+    def _encode_new(self, new: Iterable[str]) -> None:
+        """new: words that follow a space, without it."""
+        cores, need, cut = self.cores, set(), []
+        for word in new:
+            core = word.rstrip(PUNCTUATION)
+            if core == word or not core.isalpha():
+                core = word
+            rest = word[len(core) :]
+            cut.append((word, core, rest))
+            if core not in cores:
+                need.add(" " + core)
+            if rest and rest not in self.ends:
+                self.ends[rest] = self._encode([rest])[0]
+        need = list(need)
+        cores.update(zip((x[1:] for x in need), self._encode(need)))
+        ends = self.ends
+        self.pieces.update((word, cores[core] + ends[rest] if rest else cores[core]) for word, core, rest in cut)
 
-        made, need = [], {}
-        for piece in new:
-            core = piece.rstrip(PUNCTUATION)
-            if core != piece and core[-1:].isalpha() and core.lstrip(" ").isalpha():
-                parts = (core, piece[len(core) :])
-            else:
-                parts = (piece,)
-            made.append((piece, parts))
-            need.update((x, None) for x in parts if x not in self.cores)
-        fresh = iter(need)
-        while some := list(islice(fresh, 20_000)):
-            for x, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.cores[x] = np.array(found.ids, dtype="<u4").tobytes()
-        for piece, parts in made:
-            self.pieces[piece] = b"".join(self.cores[x] for x in parts)
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(texts), 20_000):
+            out += [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+        return out
 
     def encode(self, texts: Iterable[str | None], batch: int = 64) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
@@ -59,10 +66,14 @@ class Encoder:
                 self.pieces.clear()
             if len(self.cores) > KEPT_CORES:
                 self.cores.clear()
-            cut = []
-            for text in some:
-                first, *rest = (text or "").split(" ")
-                cut.append([first, *[" " + x for x in rest]])
-            self._encode_new([x for x in {x for pieces in cut for x in pieces} if x not in self.pieces])
-            for pieces in cut:
-                yield b"".join(map(self.pieces.__getitem__, pieces))
+            if len(self.ends) > KEPT_PIECES:
+                self.ends.clear()
+            find = self.pieces.get
+            words = [(text or "").split(" ") for text in some]
+            firsts = self._encode([x[0] for x in words])  # what stands before the first space has none itself
+            found = [list(map(find, islice(x, 1, None))) for x in words]
+            missing = {w for ws, ids in zip(words, found) if None in ids for w, x in zip(islice(ws, 1, None), ids) if x is None}
+            if missing:
+                self._encode_new(missing)
+            for first, ws, ids in zip(firsts, words, found):
+                yield first + b"".join(ids if None not in ids else map(self.pieces.__getitem__, islice(ws, 1, None)))
