@@ -18,7 +18,7 @@ from matchloom.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, source string, shard int, part int, rank int, n_chars long"
-ODD = [None, "", " ", "  a", "a  b \n c", "don't stop", "x<|endoftext|> y", "a b é 12ab! ab12!? ,;", "\t tab", "naïve-", "日本語 テキスト!", "ab's it's. I'll!", "a 's b's's ...", "x ‘y’. z", "𝒳y! ²³. ab² !", "a. \n\n b.\r\n c", "word! " * 3000]
+ODD = [None, "", " ", "  a", "a   b", "a  \n b", "   ", "x    y  ", "a \n\n  c d\n", "a\n b", "a\xa0 b \u2003c", "\n", "a b ", "a b  ", "a b\n", "a b \n", "<|endoftext|> <|endoftext|>x", "a  b \n c", "don't stop", "x<|endoftext|> y", "a b é 12ab! ab12!? ,;", "\t tab", "naïve-", "日本語 テキスト!", "ab's it's. I'll!", "a 's b's's ...", "x ‘y’. z", "𝒳y! ²³. ab² !", "a. \n\n b.\r\n c", "word! " * 3000]
 
 
 def docs(spark):
