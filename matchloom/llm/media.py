@@ -36,14 +36,12 @@ def lzw_encode(data: bytes, min_size: int = 8) -> bytes:
     table: dict[int, int] = {}
     find, put = table.get, codes.append
     new = clear + 2
-    prefix = -1
-    for b in data:
-        if prefix < 0:
-            prefix = b
-            continue
+    rest = iter(data)
+    prefix = next(rest, -1)
+    for b in rest:
         key = prefix << 8 | b
         known = find(key)
-        if known is not None:
+        if known:
             prefix = known
             continue
         put(prefix)
@@ -206,15 +204,18 @@ def decode_gif(data: bytes) -> list[dict]:
             straight = np.empty_like(indexes)
             straight[order] = indexes
             indexes = straight
-        lookup = np.zeros((256, 3), np.uint8)
+        lookup = np.full((256, 4), (0, 0, 0, 255), np.uint8)
         if own is not None:
-            lookup[: len(own)] = own
+            lookup[: len(own), :3] = own
         before = canvas.copy() if disposal == 3 else None
         y1, x1 = min(height, top + h), min(width, left + w)
         shown = indexes[: max(0, y1 - top), : max(0, x1 - left)]
         region = canvas[top:y1, left:x1]
-        seen = np.ones(shown.shape, bool) if transparent is None else shown != transparent
-        region[seen] = np.concatenate([lookup[shown], np.full((*shown.shape, 1), 255, np.uint8)], axis=2)[seen]
+        if transparent is None:
+            region[:] = lookup[shown]
+        else:
+            seen = shown != transparent
+            region[seen] = lookup[shown[seen]]
         frames.append({"start": clock, "delay": delay, "left": left, "top": top, "width": w, "height": h, "disposal": disposal, "transparent": transparent, "indexes": indexes, "canvas": canvas.copy()})
         if disposal == 2:
             region[:] = 0
@@ -230,8 +231,10 @@ def colour_histogram(canvas, bins: int = 8) -> list[int]:
     import numpy as np
 
     seen = canvas.reshape(-1, 4)
-    seen = seen[seen[:, 3] > 0]
-    return [int(x) for c in range(3) for x in np.bincount(seen[:, c].astype(np.int64) * bins // 256, minlength=bins)]
+    if not seen[:, 3].all():
+        seen = seen[seen[:, 3] > 0]
+    levels = np.arange(256) * bins // 256
+    return [int(x) for c in range(3) for x in np.bincount(levels, np.bincount(seen[:, c], minlength=256), bins)]
 
 
 FRAME_SCHEMA = "frame int, start_cs int, delay_cs int, left int, top int, width int, height int, disposal int, transparent int, rgba binary, histogram array<long>"
