@@ -25,7 +25,7 @@ SLOTS, SAMPLE = 1 << 15, 20_000
 BAD, GOOD, NONE = "b", "g", "-"
 SYMBOLS = b"#$%&*@^~<>{}[]=+\\_/`"
 
-# Texts are taken as one byte a code point: Latin-1 letters by their own, all that is beyond as a small letter. Counts are then those of byte strings.
+# For counts of kinds of characters, texts are taken as one byte a code point: Latin-1 letters by their own, all that is beyond as a small letter. Words and lines are compared as they are.
 _UPPER = bytes(c for c in range(256) if chr(c).isupper())
 _LOWER = bytes(c for c in range(256) if chr(c).isalpha() and not chr(c).isupper())
 _CLASSES = bytes(ord("a") if c in _UPPER + _LOWER else ord("#") if c in SYMBOLS else ord(".") if c in b".!?:" else ord(" ") if c in b" \t\n\x0b\x0c\r" else ord("-") for c in range(256))
@@ -40,7 +40,8 @@ def _bytes(text: str) -> bytes:
 def figures(text: str) -> dict[str, float]:
     """Figures of a whole text, each a share or a mean."""
     data = _bytes(text)
-    words = data.split()
+    whole = data if text.isascii() else text.encode("utf-8", "surrogatepass")
+    words = whole.split()
     n = len(words)
     count = lambda what: len(data) - len(data.translate(None, what))
     upper = count(_UPPER)
@@ -48,7 +49,7 @@ def figures(text: str) -> dict[str, float]:
     classes = data.translate(_CLASSES) + b" "
     kinds = classes.split()
     bars = words.count(b"|") + words.count(b"-") + words.count(b"*")
-    lines = [x for x in map(bytes.strip, data.split(b"\n")) if x]
+    lines = [x for x in map(bytes.strip, whole.split(b"\n")) if x]
     return {
         "n": n,
         "upper": upper / letters if letters else 0.0,

@@ -100,6 +100,22 @@ def test_classifier_keeps_clean_and_drops_junk(spark):
     assert judge(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+@pytest.mark.parametrize("syllables", ["ко ра ми вед ный ста по ли не гу", "κα το μις λε ρος θη να σω φι ξε", "가 나무 바다 하늘 에서 는 을 고 다 사람"], ids=["Cyrillic", "Greek", "Korean"])
+def test_long_clean_texts_of_other_scripts_are_no_loops(spark, syllables):
+    rng = random.Random(21)
+    parts = syllables.split()
+    # As in prose, most words are short and many repeat; few lengths, many words.
+    stems = sorted({"".join(rng.choice(parts) for _ in range(rng.choice([1, 1, 2, 2, 3]))) for _ in range(900)})
+    write = lambda n: " ".join(rng.choice(stems) + rng.choice(["", "", "", "", ",", "."]) for _ in range(n)) + "."
+    clean = [(i, write(rng.randint(500, 1200))) for i in range(60)]
+    looped = [(100 + i, " ".join([write(6)] * 90)) for i in range(8)]
+    got = {r["doc_id"]: r for r in judge(spark.createDataFrame(clean + looped, "doc_id long, text string")).collect()}
+    at = [list(LABELLERS).index(n) for n in ("few_words", "same_runs", "looped")]
+    assert all("b" not in [got[i]["votes"][k] for k in at] and got[i]["keep"] for i, _ in clean)
+    assert all([got[i]["votes"][k] for k in at] == ["b"] * 3 and not got[i]["keep"] for i, _ in looped)
+    assert figures(f"{parts[0]}\n{parts[1]}\n{parts[2]}")["line_again"] == 0
+
+
 def test_expectation_maximisation_finds_the_better_labeller():
     rng, n = random.Random(8), len(LABELLERS)
     seen = Counter()
