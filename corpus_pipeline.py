@@ -24,11 +24,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles are linked at 0.8 Jaccard or more: that of the least doc_id. Rows that repeat a doc_id are one."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key")
-    stays = jaccard_classes(docs, 5, 80).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    """One document of each group whose sets of five-word shingles are linked at 0.8 Jaccard or more: that of the least doc_id, where a missing one is least.
+
+    A row is told by the hash of its doc_id and text: only rows that repeat both are one, and texts under one doc_id, or under none, are compared like any others. Of linked texts
+    under one doc_id that of the least hash stays."""
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    key = F.xxhash64(doc_id, F.col("text").isNull(), "text").alias("key")
+    classes = jaccard_classes(docs.select(key.alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = docs.select(key, doc_id.alias("id")).distinct()
+    stays = classes.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least")).select("least.key")
     kept = docs.select(key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")).join(stays, "key")
-    return kept.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("doc.text"))).filter("n = 1").select("doc.*")
+    return kept.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("doc"))).filter("n = 1").select("doc.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

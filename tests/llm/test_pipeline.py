@@ -68,6 +68,19 @@ def test_one_of_each_group_stays(steps):
     assert set(after) == {i for i in parent if root(i) == i} and all(after[i] == before[i] for i in after) and len(after) < len(before)
 
 
+def test_texts_without_an_own_id_are_lost_to_near_duplicates_only(spark):
+    rng = random.Random(31)
+    write = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    texts = [write() for _ in range(12)]
+    near = texts[9] + " end"
+    rows = [(None, t) for t in texts[:6]] + [(None, texts[0]), (3, texts[1])] + [(5, t) for t in texts[6:10]] + [(5, near), (6, texts[6]), (7, texts[10]), (None, None), (None, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(4), "").collect()]
+    assert sum((5, t) in out for t in (texts[9], near)) == 1
+    want = [(None, t) for t in texts[:6]] + [(5, t) for t in texts[6:9]] + [(7, texts[10]), (None, None), (None, ""), (8, None)]
+    assert sorted((x for x in out if x[1] not in (texts[9], near)), key=repr) == sorted(want, key=repr)
+
+
 def test_passages_stay_once(steps):
     rows = steps[1]["repeated_passages"].collect()
     middle = " ".join(PASSAGE.split()[15:40])
