@@ -1,9 +1,12 @@
 """Repeated lines and passages, by hashes of units.
 
-Units are lines, and pieces of lines that end where a pair of words says so: a passage gives the same pieces wherever in a line it stands. Units are
+Units are lines, and windows of consecutive pieces. A piece of a line ends where a pair of words says so: a passage gives the same pieces wherever in a line it stands.
+A window is the shortest run of whole pieces from a piece on, or up to a piece, that has `min_run` words; it may go on over ends of lines. Units are
 normalised (A-Z lower-cased, white space between words made one), their digests are grouped over the corpus, the earliest occurrence by
-doc_id and place is kept, and all others are cut from the texts, with their original offsets in code points. A line has to have
-`min_line` words to count, and later pieces are cut where a run of them has `min_run` words.
+doc_id and place is kept, and all others are cut from the texts, with their original offsets in code points. A line has to have `min_line` words to count.
+
+So all that is cut stands in an earlier line, or in an earlier place of `min_run` words or more in a row. Of a repeated passage the whole pieces are cut if they have
+`min_run` words together. The words before its first whole piece and after its last stay; pieces have four words on average and no bound.
 
 Digests travel as sorted arrays of a task and bucket. A task keeps one occurrence of each digest to compare with other tasks, so a line that every
 document has is no large group. What is to be cut lies in files by document, which workers map: no text is exchanged.
@@ -24,20 +27,23 @@ MIN_LINE, MIN_RUN = 5, 20
 #: Units of a task that are held before they are sent on.
 HELD = 1_500_000
 SIGN = 1 << 63
+BASE = 0xD1342543DE82EF95
+BASE_BACK = pow(BASE, -1, 1 << 64)
 
 
 class Units:
-    """Words of a text and the digests of its lines and pieces. A unit's place is twice its first word's index, and one more for lines."""
+    """Words of a text and the digests of its lines and windows of pieces. A unit's place is four times its first word's index, and one more for lines; for windows up to a piece, four
+    times its end and two more."""
 
-    def __init__(self, raw: bytes, min_line: int):
+    def __init__(self, raw: bytes, min_line: int, min_run: int):
         import numpy as np
 
         words = raw.lower().split()
         self.n = n = len(words)
         self.raw = raw
         if not n:
-            self.place = self.digest = self.length = np.empty(0, np.uint64)
-            self.starts = np.empty(0, np.int64)
+            self.place = self.digest = np.empty(0, np.uint64)
+            self.first = self.length = self.starts = np.empty(0, np.int64)
             return
         ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
         if len(_WORDS) > 500_000:
@@ -53,9 +59,22 @@ class Units:
         pieces, lines = np.flatnonzero(new_piece), np.flatnonzero(new_line)
         piece_length, line_length = (np.diff(np.append(x, n)) for x in (pieces, lines))
         long_enough = line_length >= min_line
-        self.place = np.concatenate([2 * pieces, 2 * lines[long_enough] + 1]).astype(np.uint64)
-        self.length = np.concatenate([piece_length, line_length[long_enough]])
-        self.digest = np.concatenate([self._digests(ids, pieces, piece_length, 1), self._digests(ids, lines, line_length, 2)[long_enough]])
+        lines, line_length, line_digest = lines[long_enough], line_length[long_enough], self._digests(ids, lines, line_length, 2)[long_enough]
+        # Windows from each piece on, and those up to a piece where none of the former ends. Which there are is told by a window's own words alone.
+        ends = np.append(pieces[1:], n)
+        last = np.searchsorted(ends, pieces + min_run)
+        first = np.flatnonzero(last < len(ends))
+        last = last[first]
+        unmet = np.ones(len(ends), bool)
+        unmet[last] = False
+        last2 = np.flatnonzero(unmet & (ends >= min_run))
+        first2 = np.searchsorted(pieces, ends[last2] - min_run, "right") - 1
+        begin, end = pieces[np.append(first, first2)], ends[np.append(last, last2)]
+        digest = self._windows(self._digests(ids, pieces, piece_length, 1), np.append(first, first2), np.append(last, last2), end - begin)
+        self.place = np.concatenate([4 * pieces[first], 4 * ends[last2] + 2, 4 * lines + 1]).astype(np.uint64)
+        self.first = np.concatenate([begin, lines])
+        self.length = np.concatenate([end - begin, line_length])
+        self.digest = np.concatenate([digest, line_digest])
 
     @staticmethod
     def _digests(ids, first, length, kind: int):
@@ -65,6 +84,15 @@ class Units:
         mixed = _mix(ids + (k.astype(np.uint64) + np.uint64(kind)) * np.uint64(0xD6E8FEB86659FD93))
         return _mix(np.add.reduceat(mixed, first) + length.astype(np.uint64))
 
+    @staticmethod
+    def _windows(pieces, first, last, length):
+        """Digests of runs of pieces: differences of a prefix polynomial modulo 2^64, shifted to the same power."""
+        import numpy as np
+
+        power, back = (np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(len(pieces), x, np.uint64))]) for x in (BASE, BASE_BACK))
+        prefix = np.concatenate([[np.uint64(0)], np.cumsum(pieces * power[:-1], dtype=np.uint64)])
+        return _mix(_mix((prefix[last + 1] - prefix[first]) * back[first]) + length.astype(np.uint64))
+
 
 def _key(doc_ids):
     """Ids as unsigned numbers in the same order."""
@@ -91,7 +119,7 @@ def _losers(digest, doc, place):
     return order[first], order[later]
 
 
-def _find(docs: DataFrame, path: str, buckets: int, min_line: int) -> set[int]:
+def _find(docs: DataFrame, path: str, buckets: int, min_line: int, min_run: int) -> set[int]:
     """Stores what is to be cut by bucket of documents; returns the buckets that have anything."""
 
     def lost(digest, doc, place) -> Iterator[tuple]:
@@ -121,7 +149,7 @@ def _find(docs: DataFrame, path: str, buckets: int, min_line: int) -> set[int]:
 
         for batch in batches:
             for doc_id, raw in zip(batch["doc_id"].to_pylist(), batch["raw"].to_pylist()):
-                units = Units(raw or b"", min_line)
+                units = Units(raw or b"", min_line, min_run)
                 if len(units.digest):
                     held.append((units.digest, np.full(len(units.digest), doc_id + SIGN, np.uint64), units.place))
                     n += len(units.digest)
@@ -162,20 +190,14 @@ def _find(docs: DataFrame, path: str, buckets: int, min_line: int) -> set[int]:
     return found
 
 
-def cut_spans(units: Units, lost: dict[int, int], min_run: int) -> list[tuple[int, int]]:
-    """Ranges of words to cut, ascending and apart. lost: the digest of each later unit by its place."""
+def cut_spans(units: Units, lost: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of words to cut, ascending and apart. lost: place and digest of each later unit."""
     import numpy as np
 
     gone = np.zeros(units.n + 1, bool)
-    run = np.zeros(units.n + 1, bool)
-    for place, digest, length in zip(units.place.tolist(), units.digest.tolist(), units.length.tolist()):
-        if lost.get(place) == digest:
-            (gone if place & 1 else run)[place // 2 : place // 2 + length] = True
-    for flags, least in ((run, min_run), (gone, 1)):
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], flags]).astype(np.int8))).reshape(-1, 2)
-        for a, b in edges.tolist():
-            if b - a >= least:
-                gone[a:b] = True
+    for place, digest, first, length in zip(units.place.tolist(), units.digest.tolist(), units.first.tolist(), units.length.tolist()):
+        if (place, digest) in lost:
+            gone[first : first + length] = True
     return [tuple(x) for x in np.flatnonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8))).reshape(-1, 2).tolist()]
 
 
@@ -193,7 +215,7 @@ def drop_repeats(docs: DataFrame, min_line: int = MIN_LINE, min_run: int = MIN_R
     docs = docs.drop("n_words", "n_removed", "removed")
     own = free_name(docs, "_key")
     keyed = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(-SIGN)))
-    found = _find(keyed.select(F.col(own).alias("doc_id"), "text"), path, buckets, min_line)
+    found = _find(keyed.select(F.col(own).alias("doc_id"), "text"), path, buckets, min_line, min_run)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -204,7 +226,7 @@ def drop_repeats(docs: DataFrame, min_line: int = MIN_LINE, min_run: int = MIN_R
             texts, rows = batch["text"].to_pylist(), []
             keys = _key(np.ascontiguousarray(batch[own].to_numpy()))
             for i, (key, bucket) in enumerate(zip(keys, _doc_bucket(keys, buckets).tolist())):
-                units = Units((texts[i] or "").encode(), min_line)
+                units = Units((texts[i] or "").encode(), min_line, min_run)
                 spans = []
                 if bucket in found and units.n:
                     if bucket not in files:
@@ -212,7 +234,7 @@ def drop_repeats(docs: DataFrame, min_line: int = MIN_LINE, min_run: int = MIN_R
                     doc, place, digest = files[bucket]
                     a, b = np.searchsorted(doc, key, "left"), np.searchsorted(doc, key, "right")
                     if a < b:
-                        spans = cut_spans(units, dict(zip(place[a:b].tolist(), digest[a:b].tolist())), min_run)
+                        spans = cut_spans(units, set(zip(place[a:b].tolist(), digest[a:b].tolist())))
                 if spans:
                     data = np.frombuffer(units.raw, np.uint8)
                     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])

@@ -101,6 +101,30 @@ def test_repeated_passages_stay_once_and_the_rest_is_whole(spark):
             assert got[i]["n_removed"] == sum(len(text[a:b].split()) for a, b in spans) and got[i]["n_words"] == len(text.split())
 
 
+def test_prose_of_pieces_met_apart_is_whole(spark):
+    rng = random.Random(17)
+    words = [f"v{i}" for i in range(6)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(400))) for i in range(30)]
+    met, wrong = set(), 0
+    for r in sorted(drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r["doc_id"]):
+        w = rows[r["doc_id"]][1].split()
+        runs = [tuple(w[i : i + 20]) for i in range(len(w) - 19)]
+        wrong += 0 if met & set(runs) or len(set(runs)) < len(runs) else r["n_removed"]
+        met |= set(runs)
+    assert wrong == 0
+
+
+@pytest.mark.parametrize("n", [40, 60, 120])
+def test_whole_pieces_of_a_repeat_are_cut(spark, n):
+    rng = random.Random(n)
+    own = lambda k: " ".join(f"u{rng.randrange(10**9)}" for _ in range(k))
+    passages = [own(n) for _ in range(30)]
+    rows = [(i, f"{own(15)} {p} {own(15)}") for i, p in enumerate(passages)] + [(100 + i, f"{own(7)} {p} {own(25)}") for i, p in enumerate(passages)]
+    got = {r["doc_id"]: r["n_removed"] for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 for i in range(30)) and all(got[100 + i] <= n for i in range(30))
+    assert sum(got[100 + i] for i in range(30)) >= 30 * (n - 10)
+
+
 def test_same_result_over_many_partitions(spark):
     df = spark.createDataFrame(repeats(), SCHEMA)
     one = sorted(map(tuple, drop_repeats(df.coalesce(1)).collect()), key=repr)
