@@ -18,22 +18,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import documents, small_batches, written
+from matchloom.llm.common import documents, small_batches, tidy, written
 
 Runs = list[tuple[tuple[int, ...], int]]  # lengths of one sequence, and how many sequences are filled alike
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """The larger of the volume bound and the bound by pieces of which no two, or only limited filling, share a sequence."""
-    best = -(-sum(n * c for n, c in counts.items()) // capacity)
-    lengths = sorted(counts)
-    for k in {0, *(x for x in lengths if x <= capacity // 2)}:
-        large = sum(c for n, c in counts.items() if n > capacity - k)
-        middle = {n: c for n, c in counts.items() if capacity // 2 < n <= capacity - k}
-        room = sum((capacity - n) * c for n, c in middle.items())
-        small = sum(n * c for n, c in counts.items() if k <= n <= capacity // 2)
-        best = max(best, large + sum(middle.values()) + max(0, -(-(small - room) // capacity)))
-    return best
+    import numpy as np
+
+    n = np.arange(capacity + 1)
+    c = np.array([counts.get(k, 0) for k in range(capacity + 1)], object)  # Python integers: no sum is too large
+    number, volume = (np.concatenate([[0], np.cumsum(x)]) for x in (c, n * c))  # of lengths below an index
+    best, half, end = -(-volume[-1] // capacity), capacity // 2 + 1, capacity + 1
+    for k in {0, *(x for x in counts if x < half)}:
+        above = capacity - k + 1  # the first length that leaves no room for k
+        room = capacity * (number[above] - number[half]) - (volume[above] - volume[half])
+        best = max(best, number[end] - number[half] + max(0, -(-(volume[half] - volume[k] - room) // capacity)))
+    return int(best)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Runs:
@@ -75,13 +77,20 @@ def best_fit(counts: dict[int, int], capacity: int) -> Runs:
     return [(filling, n) for groups in open_.values() for filling, n in groups]
 
 
+#: Nodes of the search, fillings tried at a node, and steps of their enumeration for each filling wanted.
+NODES, WIDTH, STEPS = 4000, 24, 50
+
+
 def completions(left: dict[int, int], lengths: list[int], first: int, capacity: int, most: int) -> list[tuple[int, ...]]:
     """Undominated fillings around one piece of length `first`, least waste first, at most `most` of those met in order of decreasing pieces.
 
     A filling is dominated if a piece that is left still fits, if one of its pieces can be exchanged for a longer one that is left and
-    fits, or if two of its pieces can be exchanged for a single one of at least their sum: what replaces them leaves smaller pieces over."""
+    fits, or if two of its pieces, or all, can be exchanged for a single one of at least their sum: what replaces them leaves smaller pieces over."""
+    rest = capacity - first
+    if left.get(rest, 0) - (rest == first) > 0:
+        return [(rest,)]  # it could stand for all pieces of any other filling
     found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
+    steps, smallest = 0, lengths[0]
 
     def undominated(chosen: list[int], room: int) -> bool:
         used = Counter(chosen)
@@ -98,20 +107,25 @@ def completions(left: dict[int, int], lengths: list[int], first: int, capacity:
         steps += 1
         at = bisect.bisect_right(lengths, min(room, top)) - 1
         grew = False
-        while at >= 0 and len(found) < most and steps < 20 * most:
+        while at >= 0 and len(found) < most and steps < STEPS * most:
             n = lengths[at]
+            at -= 1
             if left[n] - chosen.count(n) - (n == first) > 0:
                 grew = True
+                if any(left.get(a + n, 0) - chosen.count(a + n) - (a + n == first) > 0 for a in chosen):
+                    steps += 1
+                    continue  # whatever follows, one piece that is left could stand for these two
                 extend([*chosen, n], room - n, n)
-            at -= 1
-        if (not grew or steps >= 20 * most) and undominated(chosen, room):
+                if room - n < smallest:  # any shorter last piece that leaves room for nothing could be exchanged for this one
+                    at = min(at, bisect.bisect_right(lengths, room - smallest) - 1)
+        if (not grew or steps >= STEPS * most) and undominated(chosen, room):
             found.append((room, tuple(chosen)))
 
     extend([], capacity - first, capacity)
     return [x for _, x in sorted(set(found))] or [()]
 
 
-def complete(counts: dict[int, int], capacity: int, nodes: int = 2000, width: int = 6) -> tuple[Runs, int]:
+def complete(counts: dict[int, int], capacity: int, nodes: int = NODES, width: int = WIDTH) -> tuple[Runs, int]:
     """Sequences and the proven lower bound of their number. `nodes` and `width` bound the search, never the pieces: at the end of the budget the best
     solution found stands, and its distance to the bound is known."""
     counts = {n: c for n, c in counts.items() if c}
@@ -194,18 +208,19 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: in
             columns = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Every piece of every document with its sequence and place there.
+    """Every piece of every document with its sequence and place there; and, the same in each row, the number of sequences and the proven lower bound of it.
 
     A null text is empty and gives one piece, the end id. Rows that repeat are packed each for itself; other columns are left out.
     An empty table gives an empty result."""
     pieces = written(tokenized_pieces(docs, vocabulary, capacity, end_id), "pieces")
     per_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    plan, _ = slots(complete(counts, capacity)[0])
+    runs, bound = complete(counts, capacity)
+    plan, number = slots(runs)
     before = per_part.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
     ranked = pieces.join(before.select("length", "part", F.coalesce("before", F.lit(0)).alias("before")), ["length", "part"])
 
@@ -224,9 +239,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
                 at[own] = first[n] + np.searchsorted(runs[first[n] : last[n], 1], slot[own], side="right") - 1
             _, begin, sequence, each, offset = runs[at].T
             k = slot - begin
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence + k // each), pa.array(offset + k % each * lengths)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence + k // each), pa.array(offset + k % each * lengths), *(pa.array(np.full(len(slot), x, np.int64)) for x in (number, bound))], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "sequences", "lower_bound"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("slot")).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("slot")).mapInArrow(tidy(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, sequences long, lower_bound long")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

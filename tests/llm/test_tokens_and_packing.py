@@ -80,6 +80,7 @@ def test_packing_places_every_piece(spark):
         assert at <= 256
     counts = Counter(r["length"] for r in got)
     assert len(sequences) - lower_bound(counts, 256) <= 1
+    assert {(r["sequences"], r["lower_bound"]) for r in got} == {(len(sequences), lower_bound(counts, 256))}
     assert pack(df.limit(0), PATH).collect() == []
 
 
@@ -111,6 +112,37 @@ def test_bin_completion_is_optimal_on_small_sets(seed):
     assert bound <= fewest(items, 100) == number <= sum(n for _, n in best_fit(Counter(items), 100))
 
 
+def test_search_beats_best_fit_where_short_pieces_lack():
+    for seed in range(3):
+        rng = random.Random(seed)
+        counts = Counter(min(2048, max(500, int(rng.lognormvariate(6.3, 0.9)))) for _ in range(3000))
+        runs, bound = complete(counts, 2048)
+        number, first = (sum(n for _, n in r) for r in (runs, best_fit(counts, 2048)))
+        assert bound <= number < first and (number - bound) * 2 < first - bound
+        got = Counter()
+        for filling, n in runs:
+            for x in filling:
+                got[x] += n
+        assert got == counts
+
+
+def plain_bound(counts, capacity):
+    best = -(-sum(n * c for n, c in counts.items()) // capacity)
+    for k in range(capacity // 2 + 1):
+        large = [n for n, c in counts.items() for _ in range(c) if n > capacity // 2]
+        small = sum(n * c for n, c in counts.items() if k <= n <= capacity // 2)
+        room = sum(capacity - n for n in large if n <= capacity - k)
+        best = max(best, len(large) + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+def test_lower_bound_by_plain_sums():
+    for seed in range(20):
+        rng = random.Random(seed)
+        counts = Counter(rng.randint(1, 60) for _ in range(rng.randint(1, 40)))
+        assert lower_bound(counts, 60) == plain_bound(counts, 60)
+
+
 def test_hypergeometric_law():
     rng = random.Random(2)
     seen = Counter(hypergeometric(rng, 5, 7, 6) for _ in range(20000))
