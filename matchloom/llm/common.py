@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,15 +32,85 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Rows per Arrow batch: whole texts are large, so the default of 10,000 would fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bounds of an Arrow batch, the same for every operator: a plan made earlier is run with what the session says then.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+#: A worker that holds more memory than this at the end of a task gives up what it keeps for the next one.
+KEPT_MB = 450
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are large, so batches are bounded by bytes; a longer text is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_emptied: list[Callable[[], None]] = []
+_stage: int | None = None
+
+
+def kept(cache):
+    """cache, a dictionary of this worker process, which is emptied when the worker enters another stage or holds too much."""
+    _emptied.append(cache.clear)
+    return cache
+
+
+def empty_caches() -> None:
+    """Also gives freed memory back to the system, which the JVM beside the worker may need."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    for clear in _emptied:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass  # another C library, which does this by itself
+
+
+def held_mb() -> int:
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+
+def enter_task() -> None:
+    global _stage
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    now = context.stageId() if context else None
+    if now != _stage:
+        _stage = now
+        empty_caches()
+
+
+def leave_task() -> None:
+    if not os.path.exists("/proc/self/statm") or held_mb() > KEPT_MB:
+        empty_caches()
+
+
+def tidy(run: Callable[[Iterator], Iterable]) -> Callable[[Iterator], Iterator]:
+    """run over the batches of a task, with what the worker keeps bounded by stage and by memory."""
+
+    def inner(batches: Iterator) -> Iterator:
+        enter_task()
+        try:
+            yield from run(batches)
+        finally:
+            leave_task()
+
+    return inner
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Own one only where the cluster names none."""
+    """The folder that driver and executors share. An own one only where there is none and the master is local: elsewhere executors could not read it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="matchloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -13,14 +13,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import documents, small_batches
+from matchloom.llm.common import documents, kept, small_batches, tidy
 
 #: Two prime moduli below 2^31 and a base for each.
 MODULI, BASES = (2147483647, 2147483629), (911382323, 972663749)
 #: Code points of a window, bins of a fingerprint.
 WINDOW, BINS = 24, 64
 
-_tables: list = []
+_tables: list = kept([])
 
 
 def _power_tables(n: int) -> list:
@@ -172,7 +172,7 @@ def fingerprint_documents(docs: DataFrame, partitions: int | None = None) -> Dat
                 closed = where if tail else closed
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 8, types)], names=names)
 
-    return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long")
+    return ordered.mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import Scratch, documents, map_flat, small_batches, write_flat, written
+from matchloom.llm.common import Scratch, documents, kept, map_flat, small_batches, tidy, write_flat, written
 from matchloom.llm.components import connected_components
 
 #: Counters of the document-frequency sketch (a power of two); a collision only changes the order of grams, never a result.
@@ -34,7 +34,7 @@ def shingle_hashes(words: list[bytes], width: int):
     if not words:
         return np.empty(0, np.uint64)
     ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > KEPT_WORDS:
         _WORDS.clear()
     if len(words) < width:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), len(words))], np.uint64)
@@ -58,7 +58,9 @@ class _Hashes(dict):
         return out
 
 
-_WORDS = _Hashes()
+#: Words that a worker keeps with their hashes.
+KEPT_WORDS = 300_000
+_WORDS = kept(_Hashes())
 
 
 def _raw(docs: DataFrame) -> DataFrame:
@@ -101,12 +103,12 @@ def _sketch(docs: DataFrame, width: int, path: str, slices: int = 16) -> None:
         write_flat(f"{path}/sketch-{key[0].as_py()}", out.astype("<u8").tobytes())
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32())})
 
-    done = {r["slice"] for r in _raw(docs).mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int").collect()}  # a row a slice
+    done = {r["slice"] for r in _raw(docs).mapInArrow(tidy(count), "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int").collect()}  # a row a slice
     for k in set(range(slices)) - done:
         write_flat(f"{path}/sketch-{k}", bytes(8 * SKETCH // slices))
 
 
-_sketches: dict = {}
+_sketches: dict = kept({})
 
 
 def _mapped_sketch(path: str, slices: int = 16):
@@ -140,7 +142,7 @@ def _sets(docs: DataFrame, width: int, percent: int, path: str) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.int64()))], names=["doc_id", "n", "signature", "prefix"])
 
-    return _raw(docs).mapInArrow(run, "doc_id long, n long, signature binary, prefix array<long>")
+    return _raw(docs).mapInArrow(tidy(run), "doc_id long, n long, signature binary, prefix array<long>")
 
 
 def _shared_postings(one: DataFrame, path: str, buckets: int, scratch: Scratch) -> DataFrame:
@@ -184,7 +186,7 @@ def _shared_postings(one: DataFrame, path: str, buckets: int, scratch: Scratch)
             ids, n = batch["doc_id"].to_numpy(), batch["n"].to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(ids[row[keep]]), pa.array(n[row[keep]]), pa.array(pos[keep].astype(np.int32)), pa.array(grams[keep])], names=["id", "n", "pos", "gram"])
 
-    return written(one.select("doc_id", "n", "prefix").mapInArrow(look_up, "id long, n long, pos int, gram long"), "postings", scratch)
+    return written(one.select("doc_id", "n", "prefix").mapInArrow(tidy(look_up), "id long, n long, pos int, gram long"), "postings", scratch)
 
 
 def _store_rows(docs: DataFrame, wanted: DataFrame, width: int, path: str, buckets: int, scratch: Scratch) -> DataFrame:
@@ -243,7 +245,7 @@ def _store_rows(docs: DataFrame, wanted: DataFrame, width: int, path: str, bucke
             yield flush()
 
     with_bucket = _raw(docs).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    stored = with_bucket.mapInArrow(run, "id long, file string, at long, n long")
+    stored = with_bucket.mapInArrow(tidy(run), "id long, file string, at long, n long")
     # A row that repeats a doc_id stores its set again; any one with the signature's size serves, so the least place is kept.
     return written(stored.groupBy("id").agg(F.min(F.struct("file", "at", "n")).alias("s")).select("id", "s.*"), "incidence", scratch)
 
@@ -291,7 +293,7 @@ def _multiply(pairs: DataFrame, rows: DataFrame, percent: int, path: str) -> Dat
             columns = list(zip(*out)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
-    return placed.repartition("file", F.pmod(F.xxhash64("a", "b"), F.lit(64))).sortWithinPartitions("file", "file2").mapInArrow(run, "a long, b long")
+    return placed.repartition("file", F.pmod(F.xxhash64("a", "b"), F.lit(64))).sortWithinPartitions("file", "file2").mapInArrow(tidy(run), "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, width: int, percent: int, buckets: int | None = None) -> DataFrame:
@@ -301,7 +303,7 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int, buckets: int | No
     one document: they get one component, and of different texts under one id either may be the one compared. A null doc_id is a document like any other, and the least. Other columns are left out. An empty table gives
     an empty result."""
     spark = docs.sparkSession
-    small_batches(spark, 1024)
+    small_batches(spark)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch = Scratch(spark)
     path = scratch.dir("jaccard")

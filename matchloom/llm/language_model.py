@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import documents, fresh_dir, map_flat, small_batches, write_flat
+from matchloom.llm.common import documents, fresh_dir, kept, map_flat, small_batches, tidy, write_flat
 
 #: Distinct words that a worker keeps by id, and words of a batch of texts.
 KEPT_WORDS, BATCH_WORDS = 400_000, 400_000
@@ -140,7 +140,7 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 class Files:
     """A worker's view of a model's files, and its dictionary of words. Words and pairs lie in sorted arrays of a bucket; per-word figures lie by id."""
 
-    _open: dict[str, Files] = {}
+    _open: dict[str, Files] = kept({})
 
     def __init__(self, path: str, buckets: int, base: tuple[int, ...]):
         self.path, self.buckets, self.base = path, buckets, base
@@ -244,7 +244,7 @@ def _count_words(docs: DataFrame, path: str, buckets: int) -> tuple[tuple[int, .
         write_flat(f"{path}/words-{bucket}.counts", n.tobytes())
         return pa.Table.from_pydict({"bucket": pa.array([bucket], pa.int32()), "n": [len(keys)], "tokens": pa.array([int(n.sum())], pa.int64())})
 
-    found = {r["bucket"]: r for r in _raw(docs).mapInArrow(count, BLOBS).groupBy("bucket").applyInArrow(store, "bucket int, n long, tokens long").collect()}  # a row a bucket
+    found = {r["bucket"]: r for r in _raw(docs).mapInArrow(tidy(count), BLOBS).groupBy("bucket").applyInArrow(store, "bucket int, n long, tokens long").collect()}  # a row a bucket
     base, at = [], 0
     for b in range(buckets):
         base.append(at)
@@ -314,7 +314,7 @@ def _count_pairs(docs: DataFrame, path: str, buckets: int, base: tuple[int, ...]
         return pa.Table.from_pydict({"of": pa.array([of], pa.list_(pa.int64())), "n": pa.array([len(keys)], pa.int64()), "words": pa.array([len(both[0])], pa.int64()), "blob": pa.array([_packed(*both)], pa.binary())})
 
     partial_path = f"{path}/partial"
-    counted = _raw(docs).mapInArrow(count, BLOBS).groupBy("bucket").applyInArrow(store, "of array<long>, n long, words long, blob binary")
+    counted = _raw(docs).mapInArrow(tidy(count), BLOBS).groupBy("bucket").applyInArrow(store, "of array<long>, n long, words long, blob binary")
     counted.write.parquet(partial_path)
     partial = spark.read.schema("of array<long>, n long, words long, blob binary").parquet(partial_path)
     sums = partial.agg(*(F.coalesce(F.sum(F.col("of")[k]), F.lit(0)).alias(f"n{k + 1}") for k in range(4)), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -350,7 +350,7 @@ def _word_figures(partial: DataFrame, path: str, buckets: int, vocabulary: int)
         write_flat(f"{path}/figures-{bucket}", dense.tobytes())
         return pa.Table.from_pydict({"bucket": pa.array([bucket], pa.int32()), "of": pa.array([[int((dense[:, 4] == k).sum()) for k in (1, 2, 3, 4)] + [int((dense[:, 4] > 0).sum())]], pa.list_(pa.int64()))})
 
-    found = partial.mapInArrow(split, BLOBS).groupBy("bucket").applyInArrow(store, "bucket int, of array<long>").collect()  # a row a bucket
+    found = partial.mapInArrow(tidy(split), BLOBS).groupBy("bucket").applyInArrow(store, "bucket int, of array<long>").collect()  # a row a bucket
     seen = {r["bucket"] for r in found}
     for b in range(-(-(vocabulary + 1) // span)):
         if b not in seen:
@@ -363,7 +363,7 @@ def train(docs: DataFrame, buckets: int | None = None) -> Model:
 
     buckets is the number of files of each kind: one task merges one bucket, so by default it follows the shuffle partitions, 64 at least."""
     buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    small_batches(docs.sparkSession, 2048)
+    small_batches(docs.sparkSession)
     path = fresh_dir(docs.sparkSession, "language-model")
     base, vocabulary, tokens = _count_words(docs, path, buckets)
     of_pairs, pairs, partial = _count_pairs(docs, path, buckets, base)
@@ -433,7 +433,7 @@ def score(model: Model, docs: DataFrame) -> DataFrame:
     """Each text under the model and under add-one counts of single words. perplexity is 10 to minus the mean log10 probability of its tokens.
 
     A null text is empty and has its end alone; rows that repeat are scored each; other columns are left out."""
-    small_batches(docs.sparkSession, 2048)
+    small_batches(docs.sparkSession)
     n, v = model.tokens, model.vocabulary
 
     def run(batches: Iterator) -> Iterator:
@@ -466,7 +466,7 @@ def score(model: Model, docs: DataFrame) -> DataFrame:
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
             )
 
-    return _raw(docs).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return _raw(docs).mapInArrow(tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import documents, small_batches
+from matchloom.llm.common import documents, small_batches, tidy
 
 #: Payload bytes are rows of this many pixels, and a frame has at most so many rows.
 WIDTH, FRAME_ROWS = 64, 4096
@@ -244,7 +244,7 @@ def decode_frames(media: DataFrame, key: str, column: str) -> DataFrame:
     """A row a frame of each GIF in a binary column: its time, place, screen in RGBA and colour histogram.
 
     A null, empty or damaged value gives the frames that can be read, or none. Other columns are left out."""
-    small_batches(media.sparkSession, 64)
+    small_batches(media.sparkSession)
     kind = media.schema[key].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -257,14 +257,14 @@ def decode_frames(media: DataFrame, key: str, column: str) -> DataFrame:
                     types = [*[pa.int32()] * 9, pa.binary(), pa.list_(pa.int64())]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([v], t) for v, t in zip(values.values(), types))], names=[key, *values])
 
-    return media.select(key, column).mapInArrow(run, f"{key} {kind}, {FRAME_SCHEMA}")
+    return media.select(key, column).mapInArrow(tidy(run), f"{key} {kind}, {FRAME_SCHEMA}")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """Each text as a grey animation, read back: lengths, checksums and a feature string of frames, time and histogram.
 
     A null text is empty, and an empty one is 64 zero bytes. Rows that repeat give equal rows; other columns are left out."""
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -289,7 +289,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 8, types)], names=names)
 
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("raw"))
-    return raw.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return raw.mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op7_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import documents, small_batches
+from matchloom.llm.common import documents, kept, small_batches, tidy
 
 #: Slots of the hashed weights, and documents of the training sample at most.
 SLOTS, SAMPLE = 1 << 15, 20_000
@@ -123,7 +123,7 @@ def estimate(patterns: dict[str, int], rounds: int = 200, anchor: float = 0.05)
     return dict(zip(keys, good.tolist())), tables, float(prior)
 
 
-_shapes: dict[bytes, int] = {}
+_shapes: dict[bytes, int] = kept({})
 
 
 def _shape(word: bytes) -> int:
@@ -182,7 +182,7 @@ def judge(docs: DataFrame, keep_from: float = 0.5, sample: int = SAMPLE) -> Data
     alike. Other columns stay as they are; existing columns of the four names are replaced. An empty table gives an empty result."""
     import numpy as np
 
-    small_batches(docs.sparkSession, 512)
+    small_batches(docs.sparkSession)
     docs = docs.drop("votes", "weak_good", "quality_score", "keep")
 
     def vote(batches: Iterator) -> Iterator:
@@ -194,7 +194,7 @@ def judge(docs: DataFrame, keep_from: float = 0.5, sample: int = SAMPLE) -> Data
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["pattern", "n"])
 
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    patterns = {r["pattern"]: r["n"] for r in texts.mapInArrow(vote, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}  # 3^labellers rows at most
+    patterns = {r["pattern"]: r["n"] for r in texts.mapInArrow(tidy(vote), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}  # 3^labellers rows at most
     posterior, _, _ = estimate(patterns)
     total = sum(patterns.values())
 
@@ -214,7 +214,7 @@ def judge(docs: DataFrame, keep_from: float = 0.5, sample: int = SAMPLE) -> Data
     if total > sample:
         share = sample / total * 0.97  # a hash threshold: its sample stays below the bound, and a plain limit would not repeat
         hashed = hashed.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
-    described = hashed.select("text").mapInArrow(describe, "slots array<int>, values array<float>, label double")
+    described = hashed.select("text").mapInArrow(tidy(describe), "slots array<int>, values array<float>, label double")
     rows = [(r["slots"], r["values"], r["label"]) for r in described.limit(sample).collect()]  # hashed features, of `sample` documents at most
     weights = fit(sorted(rows)).astype(np.float32)
 
@@ -238,7 +238,7 @@ def judge(docs: DataFrame, keep_from: float = 0.5, sample: int = SAMPLE) -> Data
 
     added = (("votes", T.StringType()), ("weak_good", T.DoubleType()), ("quality_score", T.DoubleType()), ("keep", T.BooleanType()))
     schema = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema), *(T.StructField(n, t) for n, t in added)])
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import Scratch, documents, free_name, fresh_dir, map_flat, small_batches, write_flat, written
-from matchloom.llm.jaccard import _WORDS, _raw
+from matchloom.llm.common import Scratch, documents, free_name, fresh_dir, map_flat, small_batches, tidy, write_flat, written
+from matchloom.llm.jaccard import _WORDS, KEPT_WORDS, _raw
 from matchloom.llm.language_model import _blob_batch, _by_bucket, _mix, _unpacked
 
 MIN_LINE, MIN_RUN = 5, 20
@@ -46,7 +46,7 @@ class Units:
             self.first = self.length = self.starts = np.empty(0, np.int64)
             return
         ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
-        if len(_WORDS) > 500_000:
+        if len(_WORDS) > KEPT_WORDS:
             _WORDS.clear()
         data = np.frombuffer(raw, np.uint8)
         inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
@@ -182,7 +182,7 @@ def _find(docs: DataFrame, path: str, buckets: int, min_line: int, min_run: int)
         return pa.table({"bucket": pa.array([bucket], pa.int32())})
 
     scratch = Scratch(docs.sparkSession)
-    scanned = written(docs.transform(_raw).mapInArrow(scan, "bucket int, n long, blob binary, sure boolean"), "units", scratch)
+    scanned = written(docs.transform(_raw).mapInArrow(tidy(scan), "bucket int, n long, blob binary, sure boolean"), "units", scratch)
     compared = scanned.filter("not sure").select("bucket", "n", "blob").groupBy("bucket").applyInArrow(compare, "bucket int, n long, blob binary")
     everything = compared.unionByName(scanned.filter("sure").select("bucket", "n", "blob"))
     found = {r["bucket"] for r in everything.groupBy("bucket").applyInArrow(store, "bucket int").collect()}  # a row a bucket
@@ -209,7 +209,7 @@ def drop_repeats(docs: DataFrame, min_line: int = MIN_LINE, min_run: int = MIN_R
     doc_id and text are one document and keep the same; of different texts under one doc_id, a unit at the same place counts once. Other columns stay as they
     are; existing columns of the names n_words, n_removed and removed are replaced. An empty table gives an empty result."""
     spark = docs.sparkSession
-    small_batches(spark, 512)
+    small_batches(spark)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = fresh_dir(spark, "repeats")
     docs = docs.drop("n_words", "n_removed", "removed")
@@ -254,7 +254,7 @@ def drop_repeats(docs: DataFrame, min_line: int = MIN_LINE, min_run: int = MIN_R
     from pyspark.sql import types as T
 
     schema = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema), *(T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("removed", T.StringType())))])
-    return keyed.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return keyed.withColumn("text", F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

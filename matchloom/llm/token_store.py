@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import _filesystem, documents, fresh_dir, small_batches, small_table
+from matchloom.llm.common import _filesystem, documents, fresh_dir, small_batches, small_table, tidy
 
 #: Tokens of a row group and bytes of a data page.
 GROUP_TOKENS, PAGE_BYTES = 1 << 20, 1 << 16
@@ -71,7 +71,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, e
             yield pa.RecordBatch.from_pydict({"file": [name], "low": pa.array([low], pa.int64()), "docs": [n], "tokens": [start]})
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = sorted(ranged.mapInArrow(run, "file string, low long, docs long, tokens long").collect(), key=lambda r: (r["low"] is not None, r["low"] or 0))  # one row a file
+    rows = sorted(ranged.mapInArrow(tidy(run), "file string, low long, docs long, tokens long").collect(), key=lambda r: (r["low"] is not None, r["low"] or 0))  # one row a file
     out, base = [], 0
     for r in rows:
         out.append({"file": r["file"], "docs": r["docs"], "tokens": r["tokens"], "base": base})
@@ -102,7 +102,7 @@ def read_digests(spark: SparkSession, path: str, files: list[dict]) -> DataFrame
                         yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array(start), table["n_tokens"].combine_chunks(), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = small_table(spark, files, "file string, base long").repartition(max(1, len(files)))
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_tokens(spark: SparkSession, path: str, files: list[dict], low: int | None = None, high: int | None = None, ids: bool = True) -> DataFrame:

@@ -14,15 +14,17 @@ from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+from matchloom.llm.common import kept
+
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 #: Entries that a worker keeps of whole pieces and of what they are made of; beyond it starts anew.
-KEPT_PIECES, KEPT_CORES = 600_000, 1_600_000
+KEPT_PIECES, KEPT_CORES = 600_000, 800_000
 
 #: New pieces of one string, which costs less than as many strings.
 JOINED = 200
 _WIDE, _ALONE = re.compile(r" \s|\s "), re.compile(r"(?<=\S) (?=\S)")
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = kept({})
 
 
 class Encoder:
