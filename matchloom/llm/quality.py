@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import codecs
 import math
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,16 +26,29 @@ SLOTS, SAMPLE = 1 << 15, 20_000
 BAD, GOOD, NONE = "b", "g", "-"
 SYMBOLS = b"#$%&*@^~<>{}[]=+\\_/`"
 
-# For counts of kinds of characters, texts are taken as one byte a code point: Latin-1 letters by their own, all that is beyond as a small letter. Words and lines are compared as they are.
+# For counts of kinds of characters, texts are taken as one byte a code point: Latin-1 by its own, any other by one of the same Unicode class. Words and lines are compared as they are.
 _UPPER = bytes(c for c in range(256) if chr(c).isupper())
 _LOWER = bytes(c for c in range(256) if chr(c).isalpha() and not chr(c).isupper())
 _CLASSES = bytes(ord("a") if c in _UPPER + _LOWER else ord("#") if c in SYMBOLS else ord(".") if c in b".!?:" else ord(" ") if c in b" \t\n\x0b\x0c\r" else ord("-") for c in range(256))
 _SHAPES = bytes(ord("A") if c in _UPPER else ord("a") if c in _LOWER else ord("0") if c in b"0123456789" else c for c in range(256))
-codecs.register_error("small_letter", lambda e: ("x" * (e.end - e.start), e.end))
+SENTENCE_ENDS = frozenset("。！？．：｡؟۔।॥…‼⁇⁈⁉։።")
+
+
+class _StandIns(dict):
+    def __missing__(self, c: str) -> str:
+        """Marks go with the letters they stand on."""
+        kind = unicodedata.category(c)
+        out = "X" if c.isupper() or kind == "Lt" else "x" if kind[0] in "LM" else "0" if kind[0] == "N" else "." if c in SENTENCE_ENDS else "#" if kind[0] in "SC" else "-"
+        self[c] = out
+        return out
+
+
+_STAND_INS = _StandIns()  # code points at most
+codecs.register_error("same_class", lambda e: ("".join(map(_STAND_INS.__getitem__, e.object[e.start : e.end])), e.end))
 
 
 def _bytes(text: str) -> bytes:
-    return text.encode("latin-1", "small_letter")
+    return text.encode("latin-1", "same_class")
 
 
 def figures(text: str) -> dict[str, float]:

@@ -116,6 +116,23 @@ def test_long_clean_texts_of_other_scripts_are_no_loops(spark, syllables):
     assert figures(f"{parts[0]}\n{parts[1]}\n{parts[2]}")["line_again"] == 0
 
 
+def test_kinds_of_characters_are_those_of_unicode():
+    import unicodedata
+
+    from matchloom.llm.quality import figures, votes
+
+    for shout in ("BUY IT NOW CHEAP " * 10, "КУПИ ЭТО СЕЙЧАС ДЁШЕВО " * 10, "ΑΓΟΡΑΣΕ ΤΟ ΤΩΡΑ ΦΤΗΝΑ " * 10):
+        assert figures(shout)["upper"] == 1.0 and votes(figures(shout))[0] == "b"
+    stars = figures("★ → ■ ☆ ← □ ★ " * 8)
+    assert stars["alpha"] == 0 and stars["symbols"] == 1.0 and votes(stars)[2] == "b" and votes(stars)[6] == "b"
+    plain = "क ख घर में पानी है और हम सब साथ चलते हैं। " * 3
+    f = figures(plain)
+    assert f["alpha"] == sum(unicodedata.category(c)[0] in "LM" for c in plain) / len(plain) and f["upper"] == 0 and f["ends"] > 0
+    mixed = "Ünïcode ÉCOLE школа ШКОЛА 12 ３４ €5"
+    letters = [c for c in mixed if c.isalpha()]
+    assert abs(figures(mixed)["upper"] - sum(c.isupper() for c in letters) / len(letters)) < 1e-12
+
+
 def test_expectation_maximisation_finds_the_better_labeller():
     rng, n = random.Random(8), len(LABELLERS)
     seen = Counter()
