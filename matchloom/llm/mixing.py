@@ -21,7 +21,9 @@ from matchloom.llm.common import SPACE, WORD, documents, small_table, written
 from matchloom.llm.sharding import communication_matrix
 
 #: Words of a block, rounds of the permutation, output shards, and hashed parts of a source, which bound what one task orders.
-BLOCK, ROUNDS, SHARDS, PARTS = 64, 16, 16, 1024
+BLOCK, ROUNDS, SHARDS, PARTS = 64, 24, 16, 1024
+#: Documents of a part, on average, beyond which there are more parts.
+PART_ROWS = 1 << 17
 
 
 def weights_in_turn(k: int) -> float:
@@ -58,12 +60,11 @@ def permuted(index: Column, n: Column, seed: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), turn)
 
 
-def laid_out(docs: DataFrame, parts: int = PARTS) -> DataFrame:
-    """docs with `size` (words), `_s` (a key of the source that isn't null), `_h` (the hash that orders a source) and `_part`."""
+def laid_out(docs: DataFrame) -> DataFrame:
+    """docs with `size` (words), `_s` (a key of the source that isn't null) and `_h` (the hash that orders a source)."""
     rows = docs.withColumn("size", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
     rows = rows.withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")))
-    rows = rows.withColumn("_h", F.xxhash64("doc_id", F.lit(7))).withColumn("_part", F.pmod("_h", F.lit(parts)).cast("int"))
-    return rows
+    return rows.withColumn("_h", F.xxhash64("doc_id", F.lit(7)))
 
 
 def _offsets(rows: DataFrame) -> DataFrame:
@@ -132,6 +133,7 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = weights_in_turn, share
     spark = docs.sparkSession
     rows = laid_out(docs.select("doc_id", "source", "text")).withColumn("_t", F.xxhash64("text")).drop("text")
     rows = written(rows, "sizes")
+    rows = rows.withColumn("_part", F.pmod("_h", F.lit(max(PARTS, rows.count() // PART_ROWS))).cast("int"))
     sources, drawn = plan(rows, weight, share, most, block, shards, seed)
     laid = _offsets(rows)
     each = slots(spark, sources, drawn)
@@ -152,14 +154,15 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: for each document and pass that takes words of it, a row of docs' columns whose `text` is what is taken, in its own order.
 
     A text that is taken whole stays as it is; of others, whole words with the white space behind them stay. n_chars, where there is one, is the length of the new
-    text. Rows that repeat doc_id and text are laid out as often as they stand, and give one row a pass with the words of all. Documents of which nothing is taken, as
+    text. Rows that repeat doc_id and text are laid out as often as they stand, and give one row a pass with the words of all and the other columns of the first by their JSON. Documents of which nothing is taken, as
     empty ones, are left out. No Python takes part. An empty table gives an empty result."""
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), key("doc_id").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_t"))
     _, each, pieces = mix(docs, **how)
     some = pieces.join(each.select("_s", "block", "pass").hint("merge"), ["_s", "block"])
     lists = some.groupBy(key("doc_id").alias("_id"), "_t", "pass").agg(F.sort_array(F.collect_set(F.struct("_from", "_words"))).alias("cuts"))  # a document's own blocks
-    joined = keyed.join(lists.hint("merge"), ["_id", "_t"]).withColumn("_n", F.row_number().over(W.partitionBy("_id", "_t", "pass").orderBy(F.lit(1)))).filter("_n = 1")
+    rest = F.to_json(F.struct(*(F.col(f"doc.`{c}`") for c in docs.columns if c not in ("doc_id", "text")))) if set(docs.columns) - {"doc_id", "text"} else F.lit("")
+    joined = keyed.join(lists.hint("merge"), ["_id", "_t"]).withColumn("_n", F.row_number().over(W.partitionBy("_id", "_t", "pass").orderBy(rest))).filter("_n = 1")
     text = F.col("doc.text").cast("string")
     words = F.regexp_extract_all(text, F.lit(WORD + SPACE + "*"), F.lit(0))
     taken = F.aggregate("cuts", F.lit(0).cast("long"), lambda a, c: a + c["_words"].cast("long"))
