@@ -59,12 +59,18 @@ def communication_matrix(rows: list[int], columns: list[int], seed: int) -> list
     return out
 
 
-def shuffle_into_shards(rows: DataFrame, key: Column, n_shards: int, blocks: int = 256, seed: int = 20) -> DataFrame:
+#: Rows of a block on average, beyond which there are more blocks than the least number.
+BLOCK_ROWS, BLOCKS = 1 << 20, 256
+
+
+def shuffle_into_shards(rows: DataFrame, key: Column, n_shards: int, blocks: int | None = None, seed: int = 20) -> DataFrame:
     """rows with `shard` (0 to n_shards - 1) and `slot` (gapless from 0 in its shard); shards differ by one row at most.
 
     key makes the random order, so rows of equal keys (repeats of one row) stand next to each other in an order of no matter; null keys
-    count as one key. `blocks` bounds what one task sorts: a shard is permuted in blocks too. No column of rows may be called
-    shard or slot. An empty table gives an empty result."""
+    count as one key. `blocks` bounds what one task sorts: a shard is permuted in blocks too; by default it follows the number of rows. Blocks are classes of
+    the key's hash, not input partitions, so that a rerun over other splits deals alike. Columns called shard or slot are replaced. An empty table gives an empty result."""
+    blocks = blocks or max(BLOCKS, rows.count() // BLOCK_ROWS)
+    rows = rows.drop("shard", "slot")
     mixed = rows.withColumn("_k1", F.xxhash64(key, F.lit(seed))).withColumn("_k2", F.xxhash64(key, F.lit(seed + 1)))
     mixed = mixed.withColumn("_block", F.pmod(F.shiftrightunsigned("_k1", 20), F.lit(blocks)).cast("int"))
     counts = dict(mixed.groupBy("_block").agg(F.count("*").alias("n")).collect())  # at most `blocks` rows
@@ -89,7 +95,7 @@ def shuffle_into_shards(rows: DataFrame, key: Column, n_shards: int, blocks: int
     return slotted.withColumn("slot", (F.col("_before") + F.col("_q")).cast("long")).drop("_k1", "_k2", "_block", "_ends", "_r", "_sub", "_q", "_before")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, blocks: int = 256, seed: int = 20) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 24, blocks: int | None = None, seed: int = 20) -> DataFrame:
     """Each document's size, checksum, shard and slot. Only these columns are exchanged, never the text.
 
     A null text has no bytes and the checksum of the empty text. A null doc_id is a key like any other; other columns are left out."""
@@ -99,8 +105,13 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, blocks: int = 256, seed
 
 
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Writes documents by shard, each shard's rows in slot order; doc_id must be unique here."""
-    joined = docs.join(assigned.select("doc_id", "shard", "slot"), "doc_id")
+    """Writes documents by shard, each shard's rows in slot order. A row finds its place by doc_id and checksum of its text, rows that repeat both by their rank, so every row
+    takes one slot of its own. Columns called shard or slot are replaced by these."""
+    key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")))
+    places = assigned.select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_crc32").alias("_key"), "shard", "slot")
+    ranked = lambda df, *by: df.withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy(*by)))
+    rows = ranked(docs.drop("shard", "slot").withColumn("_key", key), "text")
+    joined = rows.join(ranked(places, "shard", "slot"), ["_key", "_n"]).drop("_key", "_n")
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

@@ -7,12 +7,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from matchloom.llm.common import fresh_dir
-from matchloom.llm.mixing import mix, mixed_documents, water_fill
+from matchloom.llm.mixing import mix, mixed_documents, permuted, water_fill
 from matchloom.llm.packing import best_fit, complete, cut, lower_bound, pack
-from matchloom.llm.sharding import communication_matrix, hypergeometric, shard_documents
+from matchloom.llm.sharding import communication_matrix, hypergeometric, shard_documents, write_shards
 from matchloom.llm.token_store import read_digests, read_tokens, write_tokens
 from matchloom.llm.tokens import Encoder
 
@@ -206,6 +207,31 @@ def test_mix_meets_targets(spark):
     assert mix(df.limit(0))[0].collect() == []
 
 
+def test_permutation_of_blocks_is_uniform(spark):
+    """Each index goes to each place about equally often over keys, neighbours to any two places, and no place is taken twice."""
+    n, keys = 7, 6000
+    got = spark.range(keys * n).select((F.col("id") / n).cast("long").alias("key"), (F.col("id") % n).alias("i")).select("key", "i", permuted(F.col("i"), F.lit(n), F.col("key")).alias("to"))
+    table = defaultdict(dict)
+    for key, i, to in got.collect():
+        table[key][i] = to
+    assert all(sorted(t.values()) == list(range(n)) for t in table.values())
+    for i in range(n):
+        seen = Counter(t[i] for t in table.values())
+        assert sum((seen[k] - keys / n) ** 2 / (keys / n) for k in range(n)) < 25  # chi-square of 6 degrees; one in 3000 is above 24
+    pairs = Counter((t[2], t[3]) for t in table.values())
+    each = keys / (n * (n - 1))
+    assert sum((pairs[a, b] - each) ** 2 / each for a in range(n) for b in range(n) if a != b) < 85  # of 41 degrees
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, None), (None, ""), (2, "c"), (3, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("own"))
+    write_shards(df, shard_documents(df, 3), f"{tmp_path}/shards")
+    got = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+    assert sorted((r["shard"], r["slot"]) for r in got) == sorted({(r["shard"], r["slot"]) for r in got}) and Counter(r["shard"] for r in got) in (Counter({0: 3, 1: 2, 2: 2}),)
+
+
 def test_blocks_are_drawn_evenly(spark):
     _, df = docs(spark)
     _, slots, pieces = mix(df, block=8)
