@@ -133,7 +133,9 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES, width: i
     total, spent = sum(n * c for n, c in counts.items()), 0
     number = sum(n for _, n in best)
 
-    def search(left: dict[int, int], lengths: list[int], runs: Runs, used: int, waste: int) -> bool:
+    left, lengths, runs = dict(counts), sorted(counts), []  # one state for the whole search: a node takes from it and gives back
+
+    def search(used: int, waste: int) -> bool:
         """True when the bound is met or the budget is spent."""
         nonlocal best, number, spent
         if not lengths:
@@ -151,10 +153,18 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES, width: i
             lost = waste + times * (capacity - sum(filling))
             if lost > (number - 1) * capacity - total:
                 continue
-            then = dict(left)
+            runs.append((filling, times))
+            for n, k in need.items():
+                left[n] -= k * times
+                if not left[n]:
+                    lengths.pop(bisect.bisect_left(lengths, n))
+            done = search(used + times, lost)
+            runs.pop()
             for n, k in need.items():
-                then[n] -= k * times
-            if search(then, [n for n in lengths if then[n]], [*runs, (filling, times)], used + times, lost):
+                if not left[n]:
+                    bisect.insort(lengths, n)
+                left[n] += k * times
+            if done:
                 return True
         return False
 
@@ -162,7 +172,7 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES, width: i
         import sys
 
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-        search(counts, sorted(counts), [], 0, 0)
+        search(0, 0)
     return best, bound
 
 
