@@ -165,16 +165,17 @@ def features(text: str, f: dict[str, float]) -> tuple[list[int], list[float]]:
     return list(out), list(out.values())
 
 
-def fit(rows: list[tuple[list[int], list[float], float]], rounds: int = 200, rate: float = 0.2, decay: float = 1e-4):
-    """Weights of a logistic scorer for soft labels, by full-batch adaptive gradient steps; the same rows give the same weights."""
+def fit(rows: list[tuple[bytes, bytes, float]], rounds: int = 200, rate: float = 0.2, decay: float = 1e-4):
+    """Weights of a logistic scorer for soft labels, by full-batch adaptive gradient steps; the same rows give the same weights. rows: slots (32-bit integers), values (32-bit
+    floats) and label."""
     import numpy as np
 
     weights = np.zeros(SLOTS)
     if not rows:
         return weights
-    slot = np.concatenate([np.array(r[0], np.int64) for r in rows])
-    value = np.concatenate([np.array(r[1]) for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    slot = np.frombuffer(b"".join(r[0] for r in rows), "<i4").astype(np.int64)
+    value = np.frombuffer(b"".join(r[1] for r in rows), "<f4").astype(np.float64)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) // 4 for r in rows])
     label = np.array([r[2] for r in rows])
     # Either class has the same say, unless it is all but absent.
     mass = np.array([max((1 - label).sum(), 0.01 * len(rows)), max(label.sum(), 0.01 * len(rows))])
@@ -220,17 +221,17 @@ def judge(docs: DataFrame, keep_from: float = 0.5, sample: int = SAMPLE) -> Data
             for text in batch["text"].to_pylist():
                 f = figures(text or "")
                 slots, values = features(text or "", f)
-                rows.append((slots, values, posterior[votes(f)]))
+                rows.append((np.array(slots, "<i4").tobytes(), np.array(values, "<f4").tobytes(), posterior[votes(f)]))
             columns = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.list_(pa.int32())), pa.array(columns[1], pa.list_(pa.float32())), pa.array(columns[2], pa.float64())], names=["slots", "values", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.float64())], names=["slots", "values", "label"])
 
     hashed = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("text", "doc_id").alias("h"))
     if total > sample:
         share = sample / total * 0.97  # a hash threshold: its sample stays below the bound, and a plain limit would not repeat
         hashed = hashed.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
-    described = hashed.select("text").mapInArrow(tidy(describe), "slots array<int>, values array<float>, label double")
-    rows = [(r["slots"], r["values"], r["label"]) for r in described.limit(sample).collect()]  # hashed features, of `sample` documents at most
-    weights = fit(sorted(rows)).astype(np.float32)
+    described = hashed.select("text").mapInArrow(tidy(describe), "slots binary, values binary, label double")
+    rows = sorted(map(tuple, described.limit(sample).toLocalIterator()))  # hashed features as byte strings, of `sample` documents at most
+    weights = fit(rows).astype(np.float32)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
