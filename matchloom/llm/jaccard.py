@@ -1,9 +1,9 @@
 """An exact n-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
 
 Equal sets are one row of the matrix. Grams are ordered by a count of the documents that may hold them, rare ones first, so two similar
-sets share a gram within a short prefix of each; only such pairs are multiplied. Rows of the matrix that have any partner
-are stored as sorted arrays in files of one block each, and a pair of blocks is mapped and its overlaps are accumulated gram stretch by gram stretch, a
-pair being dropped as soon as what is left cannot lift it to the bound that both sizes set.
+sets share a gram within a short prefix of each; only such entries of the product are wanted. Rows of the matrix that have any partner
+are stored as sorted arrays in files. Tasks map them, make compressed blocks of rows, and accumulate the overlaps of all wanted entries of a pair of blocks stretch of
+grams by stretch of grams; an entry is dropped as soon as what is left cannot lift it to the bound that both sizes set.
 
 Every set is first multiplied by the first one that shares a prefix gram. What these links join needs no further product inside; all
 remaining pairs, across what they joined, are multiplied after that. So no group of copies is expanded into all its pairs, and no link between
@@ -246,37 +246,62 @@ def _store_rows(docs: DataFrame, wanted: DataFrame, width: int, path: str, bucke
 
     with_bucket = _raw(docs).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
     stored = with_bucket.mapInArrow(tidy(run), "id long, file string, at long, n long")
-    # A row that repeats a doc_id stores its set again; any one with the signature's size serves, so the least place is kept.
-    return written(stored.groupBy("id").agg(F.min(F.struct("file", "at", "n")).alias("s")).select("id", "s.*"), "incidence", scratch)
+    return written(stored, "incidence", scratch)
 
 
-def overlap(x, y, percent: int, stretch: int = 4096) -> bool:
-    """Whether two ascending sets reach the Jaccard bound: 100 * |both| >= percent * |either|. Overlap is accumulated stretch by stretch of the smaller set, and
-    given up when the rest cannot reach the bound."""
+class Block:
+    """Rows of the incidence matrix in compressed form: the columns (ranks of grams) of each row, ascending, after each other."""
+
+    def __init__(self, rows: list):
+        import numpy as np
+
+        self.n = np.array([len(r) for r in rows], np.int64)
+        self.grams = np.concatenate(rows) if rows else np.empty(0, np.uint64)
+        self.row = np.repeat(np.arange(len(rows)), self.n)
+
+
+def products(x: Block, y: Block, i, j, percent: int, stretches: int = 8):
+    """Of the entries (i, j) of the product of x and y transposed, which reach the Jaccard bound: 100 * |both| >= percent * |either|.
+
+    Both blocks are cut into stretches of grams. Overlaps of all entries that are left are accumulated stretch by stretch, and an entry goes as soon as what its
+    rows have left can't lift it to the overlap that their sizes ask for."""
     import numpy as np
 
-    if len(x) > len(y):
-        x, y = y, x
-    if 100 * len(x) < percent * len(y):
-        return False
-    need = -(-percent * (len(x) + len(y)) // (100 + percent))
-    have = 0
-    for a in range(0, len(x), stretch):
-        part = x[a : a + stretch]
-        at = np.searchsorted(y, part)
-        at[at == len(y)] = len(y) - 1
-        have += int((y[at] == part).sum())
-        if have + len(x) - a - len(part) < need:
-            return False
-    return have >= need
+    need = -(-percent * (x.n[i] + y.n[j]) // (100 + percent))
+    have = np.zeros(len(i), np.int64)
+    alive = np.flatnonzero((need <= np.minimum(x.n[i], y.n[j])) & (need > 0))
+    _, rank = np.unique(np.concatenate([x.grams, y.grams]), return_inverse=True)
+    v = int(rank.max()) + 1 if len(rank) else 1
+    left, right = x.row * v + rank[: len(x.grams)], y.row * v + rank[len(x.grams) :]  # (row, gram) as one number, ascending
+    for s in range(stretches):
+        if not len(alive):
+            break
+        low, high = v * s // stretches, v * (s + 1) // stretches
+        a, b = np.searchsorted(left, i[alive] * v + low), np.searchsorted(left, i[alive] * v + high)
+        n = b - a
+        of = np.repeat(np.arange(len(alive)), n)
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + a[of]
+        want = (j[alive][of] - i[alive][of]) * v + left[at]
+        place = np.minimum(np.searchsorted(right, want), max(0, len(right) - 1))
+        have[alive] += np.bincount(of, right[place] == want, len(alive)).astype(np.int64)
+        rest = np.minimum(np.searchsorted(left, (i[alive] + 1) * v) - b, np.searchsorted(right, (j[alive] + 1) * v) - np.searchsorted(right, j[alive] * v + high))
+        alive = alive[have[alive] + rest >= need[alive]]
+    out = np.zeros(len(i), bool)
+    out[alive] = True
+    return out
+
+
+#: Entries of both blocks of one product, unless two rows alone have more.
+BLOCK_ENTRIES = 1 << 20
 
 
 def _multiply(pairs: DataFrame, rows: DataFrame, percent: int, path: str) -> DataFrame:
-    """Those of the pairs (a, b) that reach the bound. Pairs are put together by the files of their rows."""
+    """Those of the pairs (a, b) that reach the bound. Pairs are put together by the files of their rows, and make the blocks and the entries of a product as they come."""
     left, right = (rows.select(F.col("id").alias(c), F.struct("file", "at", "n").alias(f"{c}_row")) for c in "ab")
     placed = pairs.join(left, "a").join(right, "b").select("a", "b", "a_row.file", F.col("b_row.file").alias("file2"), F.col("a_row.at"), F.col("a_row.n"), F.col("b_row.at").alias("at2"), F.col("b_row.n").alias("n2"))
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         arrays: dict = {}
@@ -288,34 +313,80 @@ def _multiply(pairs: DataFrame, rows: DataFrame, percent: int, path: str) -> Dat
                 arrays[name] = map_flat(f"{path}/rows-{name}", "<u8")
             return arrays[name]
 
+        def multiply(entries: list, x: dict, y: dict):
+            i, j = (np.array([e[k] for e in entries], np.int64) for k in (2, 3))
+            linked = products(*(Block([of(name)[at : at + n] for name, at, n in side]) for side in (x, y)), i, j, percent)
+            kept = [e for e, good in zip(entries, linked.tolist()) if good]
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in kept], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        entries, x, y, size = [], {}, {}, 0
         for batch in batches:
-            out = [(a, b) for a, b, f, f2, at, n, at2, n2 in zip(*(c.to_pylist() for c in batch.columns)) if overlap(of(f)[at : at + n], of(f2)[at2 : at2 + n2], percent)]
-            columns = list(zip(*out)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+            for a, b, f, f2, at, n, at2, n2 in zip(*(c.to_pylist() for c in batch.columns)):
+                one, two = (f, at, n), (f2, at2, n2)
+                more = n * (one not in x) + n2 * (two not in y)
+                if entries and (size + more > BLOCK_ENTRIES or len(entries) >= 4096):
+                    yield multiply(entries, x, y)
+                    entries, x, y, size, more = [], {}, {}, 0, n + n2
+                entries.append((a, b, x.setdefault(one, len(x)), y.setdefault(two, len(y))))
+                size += more
+        if entries:
+            yield multiply(entries, x, y)
+
+    return placed.repartition("file", F.pmod(F.xxhash64("a", "b"), F.lit(64))).sortWithinPartitions("file", "file2", "at").mapInArrow(tidy(run), "a long, b long")
+
 
-    return placed.repartition("file", F.pmod(F.xxhash64("a", "b"), F.lit(64))).sortWithinPartitions("file", "file2").mapInArrow(tidy(run), "a long, b long")
+#: Parts of a group of equal sets, so that no task has to join a large one.
+SALTS = 64
+
+
+def _equal_sets(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(representatives, links) of equal sets: the least id of each, and stars that join the others to it through the least of a hashed part."""
+    salted = some.select("doc_id", "signature", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    parts = salted.groupBy("signature", "salt").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies"))
+    classes = parts.groupBy("signature").agg(F.min("own").alias("rep"), F.sum("copies").alias("copies"))
+    inside = salted.join(parts.filter("copies > 1"), ["signature", "salt"]).select(F.col("doc_id").alias("a"), F.col("own").alias("b"))
+    outside = parts.join(classes.filter("copies > 1"), "signature").select(F.col("own").alias("a"), F.col("rep").alias("b"))
+    return classes.select(F.col("rep").alias("doc_id")), inside.unionByName(outside).filter("a <> b")
 
 
 def jaccard_classes(docs: DataFrame, width: int, percent: int, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents whose sets reach percent/100 of Jaccard similarity are linked.
 
-    A null text is empty; an empty set is linked with nothing, not even another empty one, so its component is its own doc_id. Rows that repeat a doc_id count as
-    one document: they get one component, and of different texts under one id either may be the one compared. A null doc_id is a document like any other, and the least. Other columns are left out. An empty table gives
-    an empty result."""
+    A null text is empty; an empty set is linked with nothing, not even another empty one, so its component is its own doc_id. Rows that repeat a doc_id are
+    one document with the links of all its texts. A null doc_id is a document like any other, and the least. Other columns are left out. An empty table gives an empty
+    result."""
+    nobody = -(1 << 63)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(nobody)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    null = lambda c: F.when(F.col(c) != nobody, F.col(c)).alias(c)
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _classes(docs, width, percent, buckets).select(null("doc_id"), "n_shingles", null("component_id"))
+    # Texts are compared under hashes of id and text, and joined by id after that.
+    key = F.xxhash64("doc_id", F.col("text").isNull(), "text")
+    scratch = Scratch(docs.sparkSession)
+    ids = written(docs.select(key.alias("key"), "doc_id"), "ids", scratch)
+    keyed = docs.select(key.alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    found = _classes(keyed, width, percent, buckets).withColumnRenamed("doc_id", "key")
+    placed = written(ids.join(found, "key"), "placed", scratch)
+    least = placed.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    joined = connected_components(placed.join(least, "component_id").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct(), scratch)
+    out = placed.join(joined, placed["doc_id"] == joined["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    result = written(out.select(null("doc_id"), "n_shingles", null("component_id")), "classes")
+    scratch.clear()
+    return result
+
+
+def _classes(docs: DataFrame, width: int, percent: int, buckets: int | None) -> DataFrame:
+    """jaccard_classes of ids that are neither null nor repeated."""
     spark = docs.sparkSession
     small_batches(spark)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch = Scratch(spark)
     path = scratch.dir("jaccard")
-    nobody = -(1 << 63)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(nobody)).alias("doc_id"), "text")
     _sketch(docs, width, path)
     sets = written(_sets(docs, width, percent, path), "sets", scratch)
     some = sets.filter("n > 0")
-    classes = some.groupBy("signature").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    members = some.select("doc_id", "signature").join(classes.filter("copies > 1"), "signature").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    # One row a class: the prefix of its representative.
-    one = some.join(classes.select("signature", "rep"), "signature").filter("doc_id = rep")
+    representatives, members = _equal_sets(some)
+    one = some.join(representatives, "doc_id")  # one row a class
     hot = _shared_postings(one, path, buckets, scratch)
     hot = hot.join(hot.groupBy("gram").agg(F.min("id").alias("first")), "gram")
     rows = _store_rows(docs, hot.select("id").distinct(), width, path, buckets, scratch)
@@ -337,10 +408,9 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int, buckets: int | No
     rest = across.join(x, ["gram", "c1"]).join(y, ["gram", "c2"]).filter(fits("n1", "n2")).filter(fits("n2", "n1")).filter(f"least(n1 - pos1, n2 - pos2) >= {need('n1', 'n2')}")
     rest = rest.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
     more = _multiply(rest, rows, percent, path)
-    final = connected_components(linked.unionByName(more).unionByName(members.distinct()), scratch)
+    final = connected_components(linked.unionByName(more).unionByName(members), scratch)
     out = sets.join(final, sets["doc_id"] == final["id"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
-    null = lambda c: F.when(F.col(c) != nobody, F.col(c)).alias(c)
-    result = written(out.select(null("doc_id"), F.col("n").alias("n_shingles"), null("component_id")), "classes")
+    result = written(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id"), "classes")
     scratch.clear()
     return result
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.llm.components import connected_components
-from matchloom.llm.jaccard import jaccard_classes, overlap
+from matchloom.llm.jaccard import Block, jaccard_classes, products
 from matchloom.llm.substring_dedup import drop_repeats
 
 SCHEMA = "doc_id long, text string, source string, bucket int, id long"
@@ -59,11 +59,35 @@ def test_jaccard_of_nothing(spark):
     assert jaccard_classes(spark.createDataFrame([], SCHEMA), 3, 90).collect() == []
 
 
-def test_overlap_bound_is_exact():
+def test_ids_that_repeat_with_other_texts_have_the_links_of_all(spark):
+    rows = [r for r in corpus() if r[0] is not None] + [(7, corpus()[3][1], "x", 0, 0), (201, corpus()[5][1], "x", 0, 0), (3, None, "x", 0, 0), (None, "a b c d e f", "x", 0, 0), (None, corpus()[9][1], "x", 0, 0)]
+    got = jaccard_classes(spark.createDataFrame(rows, SCHEMA).repartition(5), 3, 90).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == classes(rows, 3, 90)
+
+
+def test_large_groups_of_copies_are_joined_in_parts(spark):
+    rows = [(i, "the same few words again and again in every copy", None, 0, 0) for i in range(500, 0, -1)] + [(600 + i, f"text number {i} has its own words", None, 0, 0) for i in range(5)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_classes(spark.createDataFrame(rows, SCHEMA), 3, 90).collect()}
+    assert all(got[i] == 1 for i in range(1, 501)) and all(got[i] == i for i in range(600, 605))
+
+
+def test_products_of_blocks_are_exact():
     import numpy as np
 
     a, b = np.arange(0, 190, dtype=np.uint64), np.arange(10, 200, dtype=np.uint64)
-    assert overlap(a, b, 90) and not overlap(a, np.arange(11, 201, dtype=np.uint64), 90)
+    one = np.array([0])
+    assert products(Block([a]), Block([b]), one, one, 90)[0] and not products(Block([a]), Block([np.arange(11, 201, dtype=np.uint64)]), one, one, 90)[0]
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 3, 40, 41, 300)]
+    rows = [np.sort(rng.choice(x, max(1, len(x) - k), replace=False)) for x in base for k in (0, 1, 2, 5)]
+    left, right = rows[:], [r for r in reversed(rows)]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(left)), np.arange(len(right))))
+    for percent in (1, 50, 80, 90, 100):
+        for stretches in (1, 3, 8):
+            got = products(Block(left), Block(right), i, j, percent, stretches)
+            for p, q, linked in zip(i.tolist(), j.tolist(), got.tolist()):
+                x, y = set(left[p].tolist()), set(right[q].tolist())
+                assert linked == (100 * len(x & y) >= percent * len(x | y))
 
 
 def test_components_of_a_chain_a_star_and_a_cycle(spark):
