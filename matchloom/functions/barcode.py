@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from matchloom.functions.text import ColumnLike, _c, blank, strip
+from matchloom.functions.text import ColumnLike, _c, blank, let, strip
 
 #: Line ends of scanned text.
 LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
@@ -15,39 +15,52 @@ def digits_only(x: ColumnLike) -> Column:
     return F.regexp_replace(blank(x), r"\D", "")
 
 
-def _weighted(digits: Column, odd: int, even: int) -> Column:
-    """The sum of digits with weights in turn from the left; digits are ASCII."""
-    n = F.length(digits)
-    at = F.sequence(F.lit(1), n)
-    return F.aggregate(at, F.lit(0), lambda a, i: a + F.substr(digits, i, F.lit(1)).cast("int") * F.when(i % 2 == 1, odd).otherwise(even))
-
-
 def _is_digits(x: Column) -> Column:
     return x.rlike("^[0-9]+$")
 
 
+#: Digits that fit a long.
+LONG_DIGITS = 18
+
+
+def _weighted(code: Column, digits: int) -> Column:
+    """The sum of a number's digits with weights 3 and 1 in turn from the right; `digits` is the most it has. Arithmetic on one long, which stays in generated code."""
+    n = code.cast("bigint")
+    at = lambda k: n if k == 0 else F.call_function("div", n, F.lit(10**k).cast("bigint"))
+    return sum((at(k) % 10 * (3 if k % 2 == 0 else 1) for k in range(digits)), F.lit(0))
+
+
 def ean13_check_digit(body12: ColumnLike) -> Column:
     """Of twelve digits; null for anything else."""
     x = _c(body12)
-    return F.when(x.rlike("^[0-9]{12}$"), (10 - _weighted(x, 1, 3) % 10) % 10)
+    return F.when(x.rlike("^[0-9]{12}$"), _check(x, 12))
+
+
+def _check(body: Column, digits: int) -> Column:
+    return ((10 - _weighted(body, digits) % 10) % 10).cast("int")
 
 
 def is_valid_ean13(x: ColumnLike) -> Column:
     code = blank(x)
-    return F.when(code.rlike("^[0-9]{13}$"), F.substr(code, F.lit(13), F.lit(1)).cast("int") == (10 - _weighted(F.substr(code, F.lit(1), F.lit(12)), 1, 3) % 10) % 10).otherwise(False)
+    return F.when(code.rlike("^[0-9]{13}$"), F.substr(code, F.lit(13), F.lit(1)).cast("int") == _check(F.substr(code, F.lit(1), F.lit(12)), 12)).otherwise(False)
 
 
 def mod10_check_digit(body: ColumnLike) -> Column:
     """Weights 3 and 1 from the right, for bodies of any length; null for anything but digits."""
     x = _c(body)
-    return F.when(_is_digits(x), (10 - _weighted(F.reverse(x), 3, 1) % 10) % 10)
+    long = F.aggregate(F.sequence(F.lit(1), F.length(x)), F.lit(0), lambda a, i: a + F.substr(F.reverse(x), i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 3).otherwise(1))
+    return F.when(_is_digits(x), F.when(F.length(x) <= LONG_DIGITS, _check(x, LONG_DIGITS)).otherwise((10 - long % 10) % 10))
 
 
 def is_valid_gtin(x: ColumnLike) -> Column:
     """Eight, twelve, thirteen or fourteen digits with their check digit."""
-    code = strip(blank(x))
-    body = F.substr(code, F.lit(1), F.length(code) - 1)
-    return F.when(code.rlike("^([0-9]{8}|[0-9]{12,14})$"), mod10_check_digit(body) == F.substr(code, F.length(code), F.lit(1)).cast("int")).otherwise(False)
+    return let(strip(blank(x)), valid_digits)
+
+
+def valid_digits(code: Column) -> Column:
+    """is_valid_gtin of a code without white space at its ends."""
+    body = let(F.substr(code, F.lit(1), F.length(code) - 1).cast("bigint"), lambda n: _check(n, 13))
+    return F.when(code.rlike("^([0-9]{8}|[0-9]{12,14})$"), body == F.substr(code, F.length(code), F.lit(1)).cast("int")).otherwise(False)
 
 
 def gtin_format(x: ColumnLike) -> Column:

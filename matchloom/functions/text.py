@@ -41,7 +41,11 @@ def format_g(x: Column) -> Column:
 
 def _format_g(x: Column) -> Column:
     rounded = F.format_string("%.5e", x)
-    power = F.regexp_extract(rounded, r"e([+-]\d+)$", 1).try_cast("int")
+    return let(F.struct(x.alias("x"), rounded.alias("rounded"), F.regexp_extract(rounded, r"e([+-]\d+)$", 1).try_cast("int").alias("power")), _by_power)
+
+
+def _by_power(given: Column) -> Column:
+    x, rounded, power = given["x"], given["rounded"], given["power"]
     digits = F.regexp_replace(F.regexp_extract(rounded, r"^(-?[\d.]+)e", 1), r"\.?0+$", "")
     # An ordinary number is rounded to 5 - power places. Places are fixed in a format, so each power is its own branch.
     cases = F.when(x == 0, F.lit("0"))
@@ -57,17 +61,24 @@ def normalize_quantity(x: ColumnLike) -> Column:
     return let(blank(x), _normalize_quantity)
 
 
+#: What counts as a multipack and as an amount, on which results depend.
+PACK, AMOUNT = r"^(\d+)\s*[xX]\s*([\d.]+)\s*(kg|g|l|ml)", r"(?i)([\d.]+)\s*(kg|g|l|ml)"
+
+
 def _normalize_quantity(text: Column) -> Column:
-    pack = r"^(\d+)\s*[xX]\s*([\d.]+)\s*(kg|g|l|ml)"
-    single = r"(?i)([\d.]+)\s*(kg|g|l|ml)"
-    is_pack = F.regexp_extract(text, pack, 1) != ""
-    is_single = F.regexp_extract(text, single, 1) != ""
-    number = lambda p, g: F.regexp_extract(text, p, g).try_cast("double")
-    amount = F.when(is_pack, number(pack, 2) * number(pack, 1)).otherwise(number(single, 1))
-    unit = F.when(is_pack, F.regexp_extract(text, pack, 3)).otherwise(F.lower(F.regexp_extract(text, single, 2)))
-    large = unit.isin("kg", "l")
+    found = {"pack": (PACK, 1), "each": (PACK, 2), "pack_unit": (PACK, 3), "amount": (AMOUNT, 1), "unit": (AMOUNT, 2)}
+    parts = (F.regexp_extract(text, p, g).alias(n) for n, (p, g) in found.items())
+    return let(F.struct(text.alias("text"), *parts), _quantity_of_parts)
+
+
+def _quantity_of_parts(part: Column) -> Column:
+    number = lambda n: part[n].try_cast("double")
+    is_pack, is_single = part["pack"] != "", part["amount"] != ""
+    amount = F.when(is_pack, number("each") * number("pack")).otherwise(number("amount"))
+    unit = F.when(is_pack, part["pack_unit"]).otherwise(F.lower(part["unit"]))
     base = F.when(unit.isin("kg", "g"), F.lit("g")).otherwise(F.lit("ml"))
-    return F.when(is_pack | is_single, F.concat(format_g(F.when(large, amount * 1000).otherwise(amount)), base)).otherwise(F.lower(strip(text)))
+    shown = F.concat(format_g(amount * F.when(unit.isin("kg", "l"), F.lit(1000.0)).otherwise(F.lit(1.0))), base)
+    return F.when(is_pack | is_single, shown).otherwise(F.lower(strip(part["text"])))
 
 
 def alias_key(brand: ColumnLike, name: ColumnLike) -> Column:

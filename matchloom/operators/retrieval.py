@@ -1,14 +1,17 @@
-"""Character n-gram TF-IDF as an inverted index, nearest neighbours, and candidate scoring."""
+"""Character n-gram TF-IDF, nearest neighbours, and candidate scoring of a stated query set against all rows, in blocks."""
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matchloom.functions import barcode as B
 from matchloom.functions import text as T
-from matchloom.functions.similarity import metaphone_code, token_sort_ratio
+from matchloom.functions.similarity import metaphone, metaphone_code, token_sort_ratio
+from matchloom.operators import blocks as K
 
 #: Weights of text, sound, vector and barcode in the production score; of text, sound and vector in the benchmark score.
 STAGE_WEIGHTS = (0.20, 0.15, 0.35, 0.30)
@@ -32,27 +35,37 @@ def _counts(texts: DataFrame) -> DataFrame:
 
 
 class TfidfIndex:
-    """Postings of the distinct texts of a catalogue: text, gram, weight. Equal texts have one vector, so they are indexed once and ids are joined at the end."""
+    """Vectors of the distinct texts of a catalogue. Equal texts have one vector, so they are indexed once and ids are joined at the end."""
 
     def __init__(self, rows: DataFrame, key: str, text: Column):
         self.rows = rows.select(F.col(key).alias("key"), text.alias("text"))
         texts = self.rows.groupBy("text").agg(F.count("*").alias("copies"))
         total = self.rows.count()
-        counts = _counts(texts).join(texts, "text")
+        # Grouped by text, so the grams of a text are where it is and nothing is exchanged to count them.
+        self._counts = texts.select("text", "copies", F.explode(char_grams(F.col("text"))).alias("gram")).groupBy("text", "gram").agg(F.count("*").alias("n"), F.max("copies").alias("copies"))
         # Document frequency is over rows, so a text counts as often as it stands.
-        self.idf = counts.groupBy("gram").agg((F.log((1 + F.lit(total)) / (1 + F.sum("copies"))) + 1).alias("idf"))
-        self.postings = self._weighted(counts)
+        self.idf = self._counts.groupBy("gram").agg((F.log((1 + F.lit(total)) / (1 + F.sum("copies"))) + 1).alias("idf"))
+
+    def _weights(self, counts: DataFrame) -> DataFrame:
+        return counts.join(self.idf, "gram").select("text", "gram", ((1 + F.log("n")) * F.col("idf")).alias("w"))
 
-    def _weighted(self, counts: DataFrame) -> DataFrame:
-        raw = counts.join(self.idf, "gram").select("text", "gram", ((1 + F.log("n")) * F.col("idf")).alias("w"))
+    @property
+    def postings(self) -> DataFrame:
+        """(text, gram, weight) of all texts, each text's weights as a vector of length 1."""
+        raw = self._weights(self._counts)
         norm = raw.groupBy("text").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
         return raw.join(norm, "text").select("text", "gram", (F.col("w") / F.col("norm")).alias("weight"))
 
-    def similarities(self, queries: DataFrame) -> DataFrame:
-        """(query_text, text, similarity) of all that share a gram; grams that the index lacks are dropped before a query is normalised."""
-        asked = self._weighted(_counts(queries.select("text").distinct())).select(F.col("text").alias("query_text"), "gram", F.col("weight").alias("asked"))
-        hits = asked.join(self.postings, "gram").groupBy("query_text", "text").agg(F.sum(F.col("asked") * F.col("weight")).alias("similarity"))
-        return hits
+    def vectors(self, texts: DataFrame | None = None) -> DataFrame:
+        """(text, g, w): hashes of grams and their weights, for the indexed texts or others. Grams that the index lacks are dropped before a vector's length is taken."""
+        counts = self._counts if texts is None else _counts(texts.select("text").distinct())
+        grouped = self._weights(counts).groupBy("text").agg(F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w")).alias("v"))  # the grams of one text
+        return grouped.select("text", F.col("v.g").alias("g"), F.col("v.w").alias("w"))
+
+    def with_vectors(self, rows: DataFrame, text: str, own: bool) -> DataFrame:
+        """rows with the vectors of a text column in its place; a text without grams has none. own: whether its texts are the indexed ones."""
+        found = self.vectors(None if own else rows.select(F.col(text).alias("text"))).withColumnRenamed("text", text)
+        return rows.join(found, text, "left").drop(text)
 
 
 def top(scored: DataFrame, query: str, score: str, tie: str, k: int) -> DataFrame:
@@ -62,45 +75,116 @@ def top(scored: DataFrame, query: str, score: str, tie: str, k: int) -> DataFram
 
 
 def tfidf_neighbours(index: TfidfIndex, queries: DataFrame, key: str, text: Column, k: int) -> DataFrame:
-    """(query_id, candidate_id, similarity, rank). Queries with fewer than k hits get what they have."""
-    asked = queries.select(F.col(key).alias("query_id"), text.alias("query_text"))
-    hits = index.similarities(asked.select(F.col("query_text").alias("text")))
-    pairs = asked.join(hits, "query_text").join(index.rows, "text").select("query_id", F.col("key").alias("candidate_id"), "similarity")
-    return top(pairs, "query_id", "similarity", "candidate_id", k)
+    """(query_id, candidate_id, similarity, rank): the k rows most similar to each query, ties and rows that share no gram with it by id.
+
+    Of rows with equal texts the k least ids can count, so each distinct text is compared once."""
+    first = index.rows.withColumn("_n", F.row_number().over(W.partitionBy("text").orderBy("key"))).filter(F.col("_n") <= k)
+    texts = first.groupBy("text").agg(F.sort_array(F.collect_list(F.col("key").cast("long"))).alias("ids")).withColumn("least", F.col("ids")[0])  # k ids at most
+    asked = queries.select(F.col(key).cast("long").alias("query_id"), text.alias("_text"))
+    schema = "query_id long, candidate_id long, similarity double"
+
+    def work(part, block):
+        import numpy as np
+
+        scores, least, out = K.sparse_products(part, block), part["least"].to_numpy(), []
+        flat, n = K._lists(part, "ids")
+        starts = np.cumsum(n) - n
+        for j, query in enumerate(block["query_id"].to_pylist()):
+            best = K.best_rows(scores[:, j], least, k)
+            ids = np.concatenate([flat[starts[i] : starts[i] + n[i]] for i in best.tolist()])
+            score = np.repeat(scores[best, j], n[best])
+            kept = K.best_rows(score, ids, k)
+            out.append((np.full(len(kept), query), ids[kept], score[kept]))
+        return K.made(schema, [np.concatenate(c) for c in zip(*out)])
+
+    rows = index.with_vectors(texts.withColumnRenamed("text", "_text"), "_text", True)
+    found = K.against(rows, "least", index.with_vectors(asked, "_text", False), "query_id", work, schema)
+    return top(found, "query_id", "similarity", "candidate_id", k)
 
 
 def cosine_neighbours(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact cosine neighbours of a stated query set (vec_id, embedding) among all rows. The queries are broadcast to blocks of rows; each row's products with them go
-    through a combined top-k, so pairs are never shuffled as such. A query isn't its own neighbour."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    sized = lambda df: df.withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    asked = sized(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("q_norm"))
-    pairs = sized(rows).join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("candidate_id"), (dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("q_norm"))).alias("similarity"))
-    return top(pairs, "query_id", "similarity", "candidate_id", k)
+    """Exact cosine neighbours of a stated query set (vec_id, embedding) among all rows, by matrix products of blocks. A query isn't its own neighbour, vectors of other lengths are no
+    neighbours, and one that is all zeros is at 0 to all. Rows without a vector are left out."""
+    schema = "query_id long, candidate_id long, similarity double"
+    given = lambda df, name: df.filter("embedding is not null").select(F.col("vec_id").cast("long").alias(name), F.col("embedding").alias(f"{name}_vector"))
+
+    def work(part, block):
+        import numpy as np
+
+        def unit(table, column):
+            flat, n = K._lists(table, column)
+            flat, starts = flat.astype(np.float64), np.cumsum(n) - n
+            for width in np.unique(n).tolist():
+                at = np.flatnonzero(n == width)
+                matrix = flat[starts[at][:, None] + np.arange(width)]
+                norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+                yield width, at, matrix / np.where(norm > 0, norm, 1)
+
+        ids, asked, out = part["id"].to_numpy(), block["query_id"].to_numpy(), []
+        by_width = {width: (at, matrix) for width, at, matrix in unit(part, "id_vector")}
+        for width, columns, wanted in unit(block, "query_id_vector"):
+            if width not in by_width:
+                continue
+            at, matrix = by_width[width]
+            scores = matrix @ wanted.T
+            for c, j in enumerate(columns.tolist()):
+                other = np.flatnonzero(ids[at] != asked[j])
+                kept = other[K.best_rows(scores[other, c], ids[at][other], k)]
+                out.append((np.full(len(kept), asked[j]), ids[at][kept], scores[kept, c]))
+        return K.made(schema, [np.concatenate(c) for c in zip(*out)]) if out else None
+
+    found = K.against(given(rows, "id"), "id", given(queries, "query_id"), "query_id", work, schema)
+    return top(found, "query_id", "similarity", "candidate_id", k)
+
+
+def _raw_text(brand: str, name: str) -> Column:
+    return F.lower(F.concat(T.blank(brand), F.lit(" "), T.blank(name)))
 
 
 def rank_candidates(queries: DataFrame, catalog: DataFrame, k: int = 3, weights: tuple[float, float, float, float] = STAGE_WEIGHTS) -> DataFrame:
     """The best k catalogue rows of each query (query_id, brand, name, gtin) over the whole catalogue, with all four signals.
 
-    The cheap signals are taken for every pair of the stated queries and the catalogue. With text anywhere between 0 and 1, a row that can't reach the k-th best lower
-    bound is out, so the edit similarity is worked out only for those that can; none that belongs in the result is lost."""
+    Parts of the catalogue meet blocks of queries. There the three cheap signals are taken for all; the edit similarity is bounded by what letters both texts have, and worked out
+    in order of that bound until no row can reach the k-th best any more, so none that belongs in the result is lost. A part gives k rows a query."""
     w_text, w_sound, w_vector, w_code = weights
     index = TfidfIndex(catalog, "master_id", blob("brand", "product_name"))
-    raw = lambda b, n: F.lower(F.concat(T.blank(b), F.lit(" "), T.blank(n)))
-    # Texts are joined by their hashes: pairs are many, and so stay a few numbers wide until the bound has done its work.
-    asked = queries.select("query_id", F.col("gtin").alias("q_gtin"), F.xxhash64(blob("brand", "name")).alias("q_hash"), metaphone_code(T.blank("brand")).alias("q_code"), (T.blank("brand") != "").alias("q_named"))
-    rows = catalog.select("master_id", F.col("gtin").alias("c_gtin"), F.xxhash64(blob("brand", "product_name")).alias("c_hash"), metaphone_code(T.blank("brand")).alias("c_code"), (T.blank("brand") != "").alias("c_named"))
-    near = index.similarities(queries.select(blob("brand", "name").alias("text"))).select(F.xxhash64("query_text").alias("q_hash"), F.xxhash64("text").alias("c_hash"), F.col("similarity").alias("vector"))
-    sound = F.when(F.col("q_named") & F.col("c_named") & (F.col("q_code") == F.col("c_code")), F.lit(1.0)).otherwise(F.lit(0.0))
-    pairs = rows.join(asked, F.lit(True)).select("query_id", "master_id", "q_hash", "c_hash", sound.alias("phonetic"), B.gtin_similarity("q_gtin", "c_gtin").alias("barcode"))
-    cheap = pairs.join(near, ["q_hash", "c_hash"], "left").withColumn("vector", F.coalesce("vector", F.lit(0.0))).drop("q_hash", "c_hash")
-    cheap = cheap.withColumn("_part", w_sound * F.col("phonetic") + w_vector * F.col("vector") + w_code * F.col("barcode"))
-    bound = top(cheap.select("query_id", "master_id", "_part"), "query_id", "_part", "master_id", k).groupBy("query_id").agg(F.min("_part").alias("_least"))
-    able = cheap.join(bound, "query_id").filter(F.col("_part") + w_text + 1e-9 >= F.col("_least"))
-    able = able.join(queries.select("query_id", raw("brand", "name").alias("q_text")), "query_id").join(catalog.select("master_id", raw("brand", "product_name").alias("c_text")), "master_id")
-    scored = able.withColumn("text", token_sort_ratio("q_text", "c_text"))
-    scored = scored.withColumn("combined", w_text * F.col("text") + w_sound * F.col("phonetic") + w_vector * F.col("vector") + w_code * F.col("barcode"))
-    return top(scored, "query_id", "combined", "master_id", k).select("query_id", "rank", "master_id", "combined", "text", "phonetic", "vector", "barcode")
+    common = lambda name: (_raw_text("brand", name).alias("raw"), T.blank("brand").alias("brand"), T.blank("gtin").alias("code"), blob("brand", name).alias("_text"))
+    asked = index.with_vectors(queries.select(F.col("query_id").cast("long").alias("query_id"), B.is_valid_ean13("gtin").alias("valid"), *common("name")), "_text", False)
+    rows = index.with_vectors(catalog.select(F.col("master_id").cast("long").alias("master_id"), *common("product_name")), "_text", True)
+    schema = "query_id long, master_id long, combined double, text double, phonetic double, vector double, barcode double"
+
+    def work(part, block):
+        import numpy as np
+
+        vector, ids = K.sparse_products(part, block), part["master_id"].to_pylist()
+        texts, wanted = K.Texts(part["raw"].to_pylist()), K.Texts(block["raw"].to_pylist())
+        sounds: dict = {}
+        sound = lambda brands: np.array([sounds.setdefault(metaphone(b), len(sounds)) if b else -1 for b in brands])
+        own, other = sound(part["brand"].to_pylist()), sound(block["brand"].to_pylist())
+        codes, place = np.unique(np.array(part["code"].to_pylist(), object), return_inverse=True)
+        codes, filled, out = codes.tolist(), np.array([c != "" for c in codes.tolist()]), []
+        for j, (query, code, valid) in enumerate(zip(*(block[c].to_pylist() for c in ("query_id", "code", "valid")))):
+            barcode = np.zeros(len(codes))
+            if code:
+                if not valid:
+                    barcode = np.where(filled, np.maximum(0.0, 0.5 * (1 - K.edits(code, codes) / 3.0)), 0.0)
+                barcode[[c == code for c in codes]] = 1.0
+            barcode = barcode[place]
+            phonetic = ((own == other[j]) & (own >= 0)).astype(float)
+            bound = w_text * texts.bounds(wanted, j) + w_sound * phonetic + w_vector * vector[:, j] + w_code * barcode
+            best: list[tuple] = []
+            for i, most in K.descending(bound):
+                if len(best) == k and most + 2e-9 < -best[-1][0]:
+                    break
+                text = texts.similarity(i, wanted, j)
+                combined = w_text * text + w_sound * phonetic[i] + w_vector * vector[i, j] + w_code * barcode[i]
+                bisect.insort(best, (-round(float(combined), 9), ids[i], float(combined), text, float(phonetic[i]), float(vector[i, j]), float(barcode[i])))
+                del best[k:]
+            out += [(query, *row[1:]) for row in best]
+        return K.made(schema, list(zip(*out))) if out else None
+
+    found = K.against(rows, "master_id", asked, "query_id", work, schema)
+    return top(found, "query_id", "combined", "master_id", k).select("query_id", "rank", "master_id", "combined", "text", "phonetic", "vector", "barcode")
 
 
 def blocked_signals(queries: DataFrame, catalog: DataFrame, block: int = 50) -> DataFrame:
@@ -128,13 +212,29 @@ def margins(ranked: DataFrame) -> DataFrame:
 
 
 def signal_conflicts(queries: DataFrame, catalog: DataFrame, text_from: float = 0.85) -> DataFrame:
-    """Queries whose valid EAN-13 belongs to one row while another fits the text better, at text_from or more. Of equal texts the largest id is taken."""
+    """Queries whose valid EAN-13 belongs to one row while another fits the text better, at text_from or more. Of equal texts the largest id is taken.
+
+    Texts meet queries in blocks; a text is compared only if the letters that both have allow text_from and the best one so far."""
     owners = catalog.groupBy("gtin").agg(F.min("master_id").alias("gtin_pick"))
     owned = queries.filter(B.is_valid_ean13("gtin")).join(owners, "gtin")
-    raw = lambda b, n: F.lower(F.concat(T.blank(b), F.lit(" "), T.blank(n)))
     # Equal texts are compared once: of each distinct catalogue text only the largest id can win.
-    texts = catalog.groupBy(raw("brand", "product_name").alias("c_text")).agg(F.max("master_id").alias("master_id"))
-    asked = owned.select("query_id", "gtin_pick", raw("brand", "name").alias("q_text"))
-    scored = texts.join(asked, F.lit(True)).withColumn("text", token_sort_ratio("q_text", "c_text"))
-    best = scored.groupBy("query_id", "gtin_pick").agg(F.max(F.struct("text", "master_id")).alias("b"))
-    return best.filter((F.col("b.master_id") != F.col("gtin_pick")) & (F.col("b.text") >= text_from)).select("query_id", F.col("b.master_id").alias("text_pick"), "gtin_pick", F.bround("b.text", 3).alias("text_score"))
+    texts = catalog.groupBy(_raw_text("brand", "product_name").alias("raw")).agg(F.max("master_id").cast("long").alias("master_id"))
+    asked = owned.select(F.col("query_id").cast("long").alias("query_id"), F.col("gtin_pick").cast("long").alias("gtin_pick"), _raw_text("brand", "name").alias("raw"))
+    schema = "query_id long, gtin_pick long, text double, master_id long"
+
+    def work(part, block):
+        ids = part["master_id"].to_pylist()
+        known, wanted, out = K.Texts(part["raw"].to_pylist()), K.Texts(block["raw"].to_pylist()), []
+        for j, (query, owner) in enumerate(zip(block["query_id"].to_pylist(), block["gtin_pick"].to_pylist())):
+            best = (text_from, float("-inf"))
+            for i, most in K.descending(known.bounds(wanted, j)):
+                if most < best[0]:
+                    break
+                best = max(best, (known.similarity(i, wanted, j), ids[i]))
+            if best[1] != float("-inf"):
+                out.append((query, owner, *best))
+        return K.made(schema, list(zip(*out))) if out else None
+
+    found = K.against(texts, "master_id", asked, "query_id", work, schema)
+    best = found.groupBy("query_id", "gtin_pick").agg(F.max(F.struct("text", "master_id")).alias("b"))
+    return best.filter(F.col("b.master_id") != F.col("gtin_pick")).select("query_id", F.col("b.master_id").alias("text_pick"), "gtin_pick", F.bround("b.text", 3).alias("text_score"))

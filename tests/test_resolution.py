@@ -160,6 +160,66 @@ def test_retrieval(spark):
     assert [(r["query_id"], r["text_pick"], r["gtin_pick"]) for r in conflict] == [(1, 1, 101)]
 
 
+def plain_ranking(asked, catalog):
+    """Scores of all pairs by plain sums: (query_id, [(-combined, master_id, text, phonetic, vector, barcode), ...])."""
+    from collections import Counter
+
+    from matchloom.functions.similarity import metaphone, token_sort_similarity
+
+    blob = lambda b, n: " ".join(x.strip() for x in (b or "", n or "") if x.strip()).lower().strip()
+    grams = lambda t: Counter(p[i : i + n] for w in t.split() for p in (f" {w} ",) for n in range(2, min(4, len(p)) + 1) for i in range(len(p) - n + 1))
+    having = Counter(g for _, _, b, n in catalog for g in grams(blob(b, n)))
+    idf = {g: math.log((1 + len(catalog)) / (1 + d)) + 1 for g, d in having.items()}
+
+    def vector(t):
+        w = {g: (1 + math.log(n)) * idf[g] for g, n in grams(t).items() if g in idf}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {g: x / norm for g, x in w.items()}
+
+    def distance(a, b):
+        before = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            now = [i]
+            for j, d in enumerate(b, 1):
+                now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (c != d)))
+            before = now
+        return before[-1]
+
+    valid = lambda c: len(c) == 13 and c.isdigit() and sum(int(d) * (1, 3)[i % 2] for i, d in enumerate(c)) % 10 == 0
+    out = {}
+    for query, b, n, code in asked:
+        q, rows = vector(blob(b, n)), []
+        for master, c, cb, cn in catalog:
+            text = token_sort_similarity(f"{b or ''} {n or ''}".lower(), f"{cb or ''} {cn or ''}".lower())
+            sound = float(bool(b) and bool(cb) and metaphone(b) == metaphone(cb))
+            near = vector(blob(cb, cn))
+            cosine = sum(x * near.get(g, 0) for g, x in q.items())
+            same = 0.0 if not code or not c else 1.0 if code == c else 0.0 if valid(code) else max(0.0, 0.5 * (1 - distance(code, c) / 3))
+            rows.append((-round(0.2 * text + 0.15 * sound + 0.35 * cosine + 0.3 * same, 9), master, text, sound, cosine, same))
+        out[query] = sorted(rows)
+    return out
+
+
+def test_ranking_matches_all_pairs(spark):
+    rng = random.Random(11)
+    words, brands = "oat bar corn flakes milk choc dark rice puff honey nut crisp".split(), ["Acme", "Akme", "Mars", "Marz Ltd.", "", None, "Kelloggs"]
+    code = lambda: "".join(rng.choice("019") for _ in range(13))
+    catalog = [(i, rng.choice([code(), "", None, CODE_A]), rng.choice(brands), " ".join(rng.choice(words) for _ in range(rng.randint(0, 4))) or None) for i in range(150)]
+    asked = [(1000 + i, rng.choice(brands), " ".join(rng.choice(words) for _ in range(rng.randint(0, 4))), rng.choice([code()[:12], catalog[i][1], CODE_A, "", None])) for i in range(40)]
+    want = plain_ranking(asked, catalog)
+    frames = spark.createDataFrame(asked, "query_id long, brand string, name string, gtin string"), spark.createDataFrame(catalog, "master_id long, gtin string, brand string, product_name string").repartition(7)
+    got = V.rank_candidates(*frames, k=5).collect()
+    assert len(got) == 5 * len(asked)
+    for r in got:
+        w = want[r["query_id"]][r["rank"] - 1]
+        assert r["master_id"] == w[1] and all(abs(r[n] - x) < 1e-9 for n, x in zip(("combined", "text", "phonetic", "vector", "barcode"), (-w[0], *w[2:])))
+    near = V.blocked_signals(*frames, 20).collect()  # a block is filled in order of ids where too few rows share a gram
+    for query, rows in want.items():
+        order = sorted(rows, key=lambda w: (-round(w[4], 9), w[1]))[:20]
+        assert [r["cand_id"] for r in sorted((r for r in near if r["query_id"] == query), key=lambda r: r["pos"])] == [w[1] for w in order]
+    assert V.rank_candidates(frames[0].limit(0), frames[1]).count() == 0 and V.rank_candidates(frames[0], frames[1].limit(0)).count() == 0
+
+
 def test_calibrators(spark):
     rng = random.Random(3)
     rows = [(x, int(rng.random() < 1 / (1 + math.exp(-(8 * x - 3))))) for x in (rng.random() for _ in range(4000))]
