@@ -184,6 +184,7 @@ parts as (select *, least(1.0::double, greatest(0.0::double, top - nxt) / 0.40::
 means as (select *, (0.35::double * text + case when second then 0.25::double * agreement else 0.0::double end + case when coded then 0.40::double * score else 0.0::double end) / (0.35::double + case when second then 0.25::double else 0.0::double end + case when coded then 0.40::double else 0.0::double end) as mean from parts),
 finals as (select *, least(case when alias_hit then least(1.0::double, mean + 0.10::double) else mean end, case when (not second and not coded) or conflict then 0.90::double - 1e-9::double else 1.0::double end, case when verdict = 'full_mismatch' or top - nxt <= 0.08::double then 0.60::double else 1.0::double end) as confidence from means),
 routed as (select *, case when confidence >= 0.90::double then 'auto_merge' when confidence >= 0.60::double then 'hold_for_review' else 'reject' end as route from finals)"""
+_OVERRIDES = "concat_ws('|', case when not second or not coded then 'signals_unavailable:' || concat_ws(',', case when not coded then 'barcode' end, case when not second then 'source_agreement' end) end, case when alias_hit then 'alias_cache_hit' end, case when not second and not coded then 'single_signal_no_corroboration' end, case when verdict = 'full_mismatch' then 'barcode_three_way_mismatch' end, case when top - nxt <= 0.08::double then 'retrieval_ambiguous' end, case when conflict then 'artwork_supplier_barcode_conflict' end)"
 _CLASS = "case when route = 'reject' then 'unresolved' when second and agreement < 1 and route = 'hold_for_review' then 'both' when second and agreement < 1 then 'supplier_data_entry_error' when route = 'hold_for_review' then 'resolution_ambiguity' else 'clean' end"
 
 
@@ -201,7 +202,7 @@ def q_text_signal(spark, sf):
 
 
 @query(
-    f"with {_ROUTED} select event_id, route, round(confidence, 9) as confidence, concat_ws('|', case when not second or not coded then 'signals_unavailable:' || concat_ws(',', case when not coded then 'barcode' end, case when not second then 'source_agreement' end) end, case when alias_hit then 'alias_cache_hit' end, case when not second and not coded then 'single_signal_no_corroboration' end, case when verdict = 'full_mismatch' then 'barcode_three_way_mismatch' end, case when top - nxt <= 0.08::double then 'retrieval_ambiguous' end, case when conflict then 'artwork_supplier_barcode_conflict' end) as overrides from routed"
+    f"with {_ROUTED} select event_id, route, round(confidence, 9) as confidence, {_OVERRIDES} as overrides from routed"
 )
 def q_route(spark, sf):
     return _routed(spark, sf).select("event_id", "d.route", F.round("d.confidence", 9).alias("confidence"), F.array_join("d.overrides", "|").alias("overrides"))
@@ -330,13 +331,25 @@ def q_signal_conflict(spark, sf):
     return V.signal_conflicts(_asked(spark, sf), catalog(spark, sf))
 
 
-@query()
+def _decisions_sql() -> str:
+    """The routing rules over ranked candidates: scores from the ranking, and the winner's own code for the master's."""
+    win = "win as (select query_id, max(case when rank = 1 then master_id end) as top_id, max(case when rank = 1 then combined end) as top, coalesce(max(case when rank = 2 then combined end), 0.0::double) as nxt from ranked where rank <= 2 group by query_id)"
+    own = lambda x: x.split(SQL_EVENTS + ", ", 1)[1]
+    codes = own(_THREE).replace("master_gtin", "w.gtin").replace("from events0", "from events0 join win on query_id = true_master_id join catalog w on w.master_id = top_id")
+    rules = _ROUTED[_ROUTED.index("sig as (") :].replace(f"{_TOP} as top, {_NEXT} as nxt", "top, nxt").replace("true_master_id % 23 = 0 as alias_hit", "false as alias_hit")
+    rules = rules.replace("join verdicts v using (event_id)", "join verdicts v using (event_id) join win on query_id = c.true_master_id")
+    columns = f"event_id, true_master_id, top_id as resolved_id, top_id = true_master_id as correct, {_CLASS} as problem_class, route, round(confidence, 9) as confidence, round(agreement, 9) as sig_source_agreement, round(text, 9) as sig_text_match, score as sig_barcode, {_OVERRIDES} as overrides, verdict as barcode_verdict"
+    return f"with {_STAGE04}, {win}, {own(_NORM)}, {codes}, {rules}, placed as (select routed.*, e.true_master_id, w.top_id from routed join events0 e using (event_id) join win w on w.query_id = e.true_master_id) select {columns} from placed"
+
+
+@query(_decisions_sql())
 def q_decisions(spark, sf):
-    """The full decision on each asked event, from retrieval to route."""
+    """The full decision on each asked event, from retrieval to route; without the sentences that explain it."""
     c = catalog(spark, sf)
     e = events(spark, sf).filter(F.col("true_master_id") % _ASKED == 0)
     ranked = V.margins(V.rank_candidates(_asked(spark, sf), c)).join(e.select(F.col("true_master_id").alias("query_id"), "event_id"), "query_id").drop("query_id").withColumnRenamed("event_id", "query_id")
-    return D.decide(e, ranked, c)
+    rounded = (F.round(n, 9).alias(n) for n in ("confidence", "sig_source_agreement", "sig_text_match"))
+    return D.decide(e, ranked, c).select("event_id", "true_master_id", "resolved_id", "correct", "problem_class", "route", *rounded, "sig_barcode", "overrides", "barcode_verdict")
 
 
 def _gold(spark: SparkSession, sf: str) -> DataFrame:
@@ -346,13 +359,30 @@ def _gold(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(c, "t").select("left_id", F.col("master_id").alias("right_id"))
 
 
-@query()
+def _sweep_sql(mixes: tuple, thresholds: tuple) -> str:
+    """Signals of each block, the best of it under each mix, and measures at each threshold. First words of brands all sound alike in these tables."""
+    values = ", ".join("(" + ", ".join(f"{w!r}::double" if isinstance(w, float) else str(w) for w in (k, *map(float, m), *map(float, V.normalized_weights(*m)))) + ")" for k, m in enumerate(mixes))
+    return f"""with {_TFIDF}, sims as (select a.text as q, b.text as t, sum(a.weight * b.weight) as sim from vectors a join vectors b using (gram) where a.text in (select text from asked) and b.text in (select text from texts) group by 1, 2),
+near as (select query_id, a.text as q, t.text as t, master_id, coalesce(sim, 0.0::double) as vector, row_number() over (partition by query_id order by round(coalesce(sim, 0.0::double), 9) desc, master_id) as pos from asked a cross join texts t left join sims s on s.q = a.text and s.t = t.text),
+tokens as (select query_id, master_id, vector, pos, {sql_tokens('q')} as x, {sql_tokens('t')} as y from near where pos <= 50),
+signals as (select query_id, master_id, vector, pos, {sql_ratio('x', 'y')} as text from tokens),
+mixes as (select * from (values {values}) v(mix, w_text, w_phonetic, w_vector, t, p, v)),
+scored as (select mix, query_id, master_id, pos, round(t * text + p * 1.0::double + v * vector, 9) as score from signals, mixes),
+picked as (select *, row_number() over (partition by mix, query_id order by score desc, pos) as n from scored),
+gold as (select a.query_id, t.master_id from texts a0 join asked a on a.query_id = a0.master_id join texts t on t.text = a0.text),
+joined as (select k.mix, k.score, (g.master_id is not null) as hit, (k.query_id in (select query_id from gold)) as known from picked k left join gold g on g.query_id = k.query_id and g.master_id = k.master_id where n = 1),
+sums as (select mix, th::double as threshold, sum((score >= th)::int)::bigint as predicted, sum((score >= th and hit)::int)::bigint as correct, sum((hit and known)::int)::double / nullif(sum(known::int), 0) as top1, (select count(*) from gold) as truth_pairs from joined, (values {", ".join(f"({t!r}::double)" for t in thresholds)}) h(th) group by 1, 2),
+m as (select *, coalesce(correct::double / nullif(predicted, 0), 0.0::double) as pr, coalesce(correct::double / nullif(truth_pairs, 0), 0.0::double) as re from sums)
+select mix, w_text, w_phonetic, w_vector, threshold, round(pr, 9) as precision, round(re, 9) as recall, round(case when pr + re = 0 then 0.0::double else 2 * pr * re / (pr + re) end, 9) as f1, round(coalesce(top1, 0.0::double), 9) as top1_accuracy, predicted, correct, truth_pairs from m join mixes using (mix)"""
+
+
+@query(_sweep_sql((V.BENCHMARK_WEIGHTS,), (0.5,)))
 def q_eval_prf(spark, sf):
     signals = V.blocked_signals(_asked(spark, sf), catalog(spark, sf))
     return _rounded(E.evaluate(E.picks(signals, (V.BENCHMARK_WEIGHTS,)), _gold(spark, sf), (0.5,)))
 
 
-@query()
+@query(_sweep_sql(E.MIXES, E.THRESHOLDS))
 def q_weight_threshold_sweep(spark, sf):
     signals = V.blocked_signals(_asked(spark, sf), catalog(spark, sf))
     return _rounded(E.evaluate(E.picks(signals), _gold(spark, sf)))
@@ -536,13 +566,15 @@ def q_benchmark_catalog(spark, sf):
     return made.select(F.col("rec_id").alias("master_id"), "gtin", "brand", "product_name")
 
 
-@query(f"with {SQL_EVENTS} select 'evt-' || (true_master_id + 1000000) as event_id, true_master_id + 1 as true_master_id, regexp_replace(lower(supplier_name), '\\s+', ' ', 'g') as supplier_norm_name, master_name from events0 where true_master_id % 2 = 0")
+@query(f"with {SQL_EVENTS} select 'evt-' || (true_master_id + 1000000) as event_id, true_master_id + 1 as true_master_id, regexp_replace(lower(supplier_name), '\\s+', ' ', 'g') as supplier_norm_name, master_name from events0")
 def q_benchmark_events(spark, sf):
     e = events(spark, sf)
     k = F.col("true_master_id")
     records = e.select((k + 1000000).alias("rec_id"), F.col("supplier_name").alias("name"), F.col("supplier_brand").alias("manufacturer"))
     rows = catalog(spark, sf).select(F.col("master_id").alias("rec_id"), F.col("product_name").alias("name"), F.col("brand").alias("manufacturer"))
-    mapping = e.filter(k % 2 == 0).select((k + 1000000).alias("supplier_id"), k.alias("catalog_id"))
+    pairs = e.select((k + 1000000).alias("supplier_id"), k.alias("catalog_id"))
+    nowhere = e.select((k + 1000000).alias("supplier_id"), (-1 - k).alias("catalog_id")).unionByName(e.select((-1 - k).alias("supplier_id"), k.alias("catalog_id")))
+    mapping = pairs.unionByName(nowhere)  # pairs of which one end is missing are dropped
     made = IO.benchmark_events(mapping, records, IO.benchmark_catalog(rows, "rec_id", "801"))
     return made.select("event_id", "true_master_id", "supplier_norm_name", "master_name")
 
