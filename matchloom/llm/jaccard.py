@@ -5,7 +5,7 @@ sets share a gram within a short prefix of each; only such entries of the produc
 are stored as sorted arrays in files. Tasks map them, make compressed blocks of rows, and accumulate the overlaps of all wanted entries of a pair of blocks stretch of
 grams by stretch of grams; an entry is dropped as soon as what is left cannot lift it to the bound that both sizes set.
 
-Every set is first multiplied by the first one that shares a prefix gram. What these links join needs no further product inside; all
+Every set is first multiplied by the first one that shares a prefix gram, then by some drawn ones. What these links join needs no further product inside; all
 remaining pairs, across what they joined, are multiplied after that. So no group of copies is expanded into all its pairs, and no link between
 sets that are not joined otherwise is missed.
 """
@@ -335,6 +335,8 @@ def _multiply(pairs: DataFrame, rows: DataFrame, percent: int, path: str) -> Dat
     return placed.repartition("file", F.pmod(F.xxhash64("a", "b"), F.lit(64))).sortWithinPartitions("file", "file2", "at").mapInArrow(tidy(run), "a long, b long")
 
 
+#: Further stars of each gram before all pairs that are left across components are multiplied.
+STAR_TURNS = 2
 #: Parts of a group of equal sets, so that no task has to join a large one.
 SALTS = 64
 
@@ -394,19 +396,31 @@ def _classes(docs: DataFrame, width: int, percent: int, buckets: int | None) ->
     stars = hot.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     linked = written(_multiply(stars, rows, percent, path), "links", scratch)
     joined = connected_components(linked, scratch)
-    # What is left: pairs that share a prefix gram across different components.
-    known = hot.select("gram", "id", "n", "pos").join(joined, "id", "left").select("gram", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
-    mixed = known.join(known.groupBy("gram").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("gram"), "gram")
-    mixed = written(mixed, "mixed", scratch)
-    x, y = (mixed.select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("id", "n", "pos", "c"))) for k in "12")
     # Taken as the first gram that a pair shares, a gram leaves no more overlap than what follows it in either set; at the one that really is the first, no linked pair fails.
     need = lambda n1, n2: f"ceil({percent} * ({n1} + {n2}) / {100 + percent})"
+    able = lambda df: df.filter(fits("n1", "n2")).filter(fits("n2", "n1")).filter(f"least(n1 - pos1, n2 - pos2) >= {need('n1', 'n2')}")
+    pair = (F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
+
+    def apart(joined: DataFrame) -> DataFrame:
+        """What is left: prefix grams that sets of different components share."""
+        known = hot.select("gram", "id", "n", "pos").join(joined, "id", "left").select("gram", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
+        return written(known.join(known.groupBy("gram").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("gram"), "gram"), "mixed", scratch)
+
+    side = lambda df, k: df.select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("id", "n", "pos", "c")))
+    mixed = apart(joined)
+    for turn in range(STAR_TURNS):
+        # Another star in each gram, around a set drawn by the gram, so that the sets of a large group meet many different ones.
+        centre = mixed.groupBy("gram").agg(F.min_by(F.struct("id", "n", "pos", "c"), F.xxhash64("gram", "id", F.lit(turn))).alias("x")).select("gram", "x.*")
+        stars = able(side(mixed, 1).join(side(centre, 2), "gram").filter("c1 <> c2")).select(*pair).distinct()
+        linked = linked.unionByName(written(_multiply(stars, rows, percent, path), "links", scratch))
+        joined = connected_components(linked, scratch)
+        mixed = apart(joined)
+    x, y = (side(mixed, k) for k in "12")
     groups = mixed.groupBy("gram", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("left"))
     g1, g2 = (groups.select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("c", "lo", "hi", "left"))) for k in "12")
     across = g1.join(g2, "gram").filter("c1 < c2").filter(fits("hi1", "lo2")).filter(fits("hi2", "lo1")).filter(f"least(left1, left2) >= {need('lo1', 'lo2')}")
     across = across.select("gram", "c1", "c2")
-    rest = across.join(x, ["gram", "c1"]).join(y, ["gram", "c2"]).filter(fits("n1", "n2")).filter(fits("n2", "n1")).filter(f"least(n1 - pos1, n2 - pos2) >= {need('n1', 'n2')}")
-    rest = rest.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+    rest = able(across.join(x, ["gram", "c1"]).join(y, ["gram", "c2"])).select(*pair).distinct()
     more = _multiply(rest, rows, percent, path)
     final = connected_components(linked.unionByName(more).unionByName(members), scratch)
     out = sets.join(final, sets["doc_id"] == final["id"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
