@@ -238,7 +238,7 @@ def _ranked(spark: SparkSession, sf: str) -> DataFrame:
 def q_needs_disambiguation(spark, sf):
     rows = _ranked(spark, sf).select("event_id", R.needs_disambiguation(F.col("conflict"), F.col("supplier"), F.col("artwork")).alias("n"))
     reason = F.col("n.reason")
-    why = F.when(reason.startswith("text and"), "conflict").when(reason.contains("picked"), "ids").when(reason.startswith("supplier-keyed"), "supplier").when(reason.startswith("artwork-keyed"), "artwork").otherwise("none")
+    why = F.when(reason.startswith("code and"), "conflict").when(reason.startswith("best record"), "ids").when(reason.startswith("supplier:"), "supplier").when(reason.startswith("artwork:"), "artwork").otherwise("none")
     return rows.select("event_id", "n.invoke", why.alias("why"))
 
 

@@ -134,9 +134,9 @@ def test_ambiguity_and_guardrail(spark):
     ranked = lambda *rows: F.array(*(F.struct(F.lit(i).cast("long").alias("master_id"), F.lit(s).alias("score")) for i, s in rows))
     ask = lambda c, a, b: spark.range(1).select(R.needs_disambiguation(F.lit(c), a, b).alias("n")).first()["n"]
     sure = ranked((1, 0.95), (2, 0.40)), ranked((1, 0.93), (2, 0.38))
-    assert ask(True, *sure)["invoke"] and not ask(False, *sure)["invoke"] and ask(False, *sure)["reason"] == "retrieval was decisive"
-    assert ask(False, ranked((1, 0.9)), ranked((2, 0.9)))["reason"] == "supplier-keyed picked 1, artwork-keyed picked 2"
-    assert ask(False, ranked((1, 0.80), (2, 0.77)), sure[1])["reason"].startswith("supplier-keyed top-2 separated by only 0.030")
+    assert ask(True, *sure)["invoke"] and not ask(False, *sure)["invoke"] and ask(False, *sure)["reason"] == "one record is clearly best"
+    assert ask(False, ranked((1, 0.9)), ranked((2, 0.9)))["reason"] == "best record differs: 1 by supplier, 2 by artwork"
+    assert ask(False, ranked((1, 0.80), (2, 0.77)), sure[1])["reason"].startswith("supplier: best two only 0.030 apart")
     answer = lambda ids, i, c: spark.range(1).select(R.llm_guardrail(F.array(*map(F.lit, ids)).cast("array<long>"), F.lit(i).cast("long"), F.lit(c)).alias("a")).first()["a"]
     assert tuple(answer([1, 2], 1, 0.99))[:3] == (1, 0.75, True) and answer([1, 2], 999, 0.5)["master_id"] is None and answer([1, 2], 999, 0.5)["error"] and answer([], 1, 0.5)["error"] == "empty shortlist"
 
