@@ -5,9 +5,9 @@ sets share a gram within a short prefix of each; only such entries of the produc
 are stored as sorted arrays in files. Tasks map them, make compressed blocks of rows, and accumulate the overlaps of all wanted entries of a pair of blocks stretch of
 grams by stretch of grams; an entry is dropped as soon as what is left cannot lift it to the bound that both sizes set.
 
-Every set is first multiplied by the first one that shares a prefix gram, then by some drawn ones. What these links join needs no further product inside; all
-remaining pairs, across what they joined, are multiplied after that. So no group of copies is expanded into all its pairs, and no link between
-sets that are not joined otherwise is missed.
+Every set is first multiplied by the first one that shares a prefix gram. What these links join needs no further product inside. Of what is left across
+components, a gram of few sets gives its pairs, and the sets of a frequent one are dealt to blocks by size, whose pairs are multiplied whole: only the links that come
+out become rows. So no group of copies is expanded into its pairs, and no link between sets that are not joined otherwise is missed.
 """
 
 from __future__ import annotations
@@ -335,8 +335,98 @@ def _multiply(pairs: DataFrame, rows: DataFrame, percent: int, path: str) -> Dat
     return placed.repartition("file", F.pmod(F.xxhash64("a", "b"), F.lit(64))).sortWithinPartitions("file", "file2", "at").mapInArrow(tidy(run), "a long, b long")
 
 
-#: Further stars of each gram before all pairs that are left across components are multiplied.
-STAR_TURNS = 2
+#: Sets of a gram whose pairs are listed one by one; the sets of a more frequent gram are multiplied in blocks of BLOCK_ROWS.
+LISTED, BLOCK_ROWS = 16, 64
+
+
+def whole_product(rows: list, others: list, wanted, percent: int, width: int = 1 << 15):
+    """Which entries of rows times others transposed are wanted (a matrix of truths) and reach the bound. Sets are ascending arrays.
+
+    Overlaps of all entries are accumulated stretch of grams by stretch, each a product of two dense matrices, until no entry can reach its bound any more."""
+    import numpy as np
+
+    wanted = wanted.copy()
+    i, j = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
+    if not len(i):
+        return wanted
+    x, y = Block([rows[k] for k in i]), Block([others[k] for k in j])
+    need = -(-percent * (x.n[:, None] + y.n[None, :]) // (100 + percent))
+    alive = wanted[np.ix_(i, j)] & (need > 0) & (need <= np.minimum(x.n[:, None], y.n[None, :]))
+    _, rank = np.unique(np.concatenate([x.grams, y.grams]), return_inverse=True)
+    v = int(rank.max()) + 1 if len(rank) else 0
+    sides = [(x, rank[: len(x.grams)]), (y, rank[len(x.grams) :])]
+    left = [x.n.copy(), y.n.copy()]
+    have = np.zeros(alive.shape, np.int64)
+    step = max(1, min(width, -(-v // 4)))
+    for low in range(0, v, step):
+        if not alive.any():
+            break
+        parts = []
+        for k, (block, column) in enumerate(sides):
+            own = np.flatnonzero((column >= low) & (column < low + step))
+            part = np.zeros((len(block.n), step), np.float32)
+            part[block.row[own], column[own] - low] = 1
+            left[k] -= np.bincount(block.row[own], minlength=len(block.n))
+            parts.append(part)
+        have += np.rint(parts[0] @ parts[1].T).astype(np.int64)
+        alive &= have + np.minimum(left[0][:, None], left[1][None, :]) >= need
+    wanted[np.ix_(i, j)] = alive
+    return wanted
+
+
+def _blocks(mixed: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(gram, size, own, part, rows) of the sets of each frequent gram: sets of one class of sizes together, in blocks of about BLOCK_ROWS.
+
+    Linked sets are in one class or in classes next to each other. A component that fills half a block has blocks of its own."""
+    base = f"(ln({100 / percent}D) + 1e-9D)"  # a little more than the greatest ratio of linked sizes, so that rounding parts none
+    classed = mixed.withColumn("size", F.expr(f"cast(floor(ln(n) / {base}) as long)"))
+    counted = classed.groupBy("gram", "size", "c").agg(F.count("*").alias("m"))
+    counted = counted.withColumn("own", F.col("m") >= BLOCK_ROWS // 2).withColumn("of", F.when(F.col("own"), F.col("c")).otherwise(F.lit(0)))
+    parts = counted.groupBy("gram", "size", "own", "of").agg(F.ceil(F.sum("m") / BLOCK_ROWS).cast("long").alias("parts"))
+    placed = classed.join(counted.join(parts, ["gram", "size", "own", "of"]).drop("m"), ["gram", "size", "c"]).join(rows.select("id", "file", "at"), "id")
+    block = F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")
+    return placed.groupBy("gram", "size", "own", "of", block).agg(F.collect_list(F.struct("id", "n", "pos", "c", "file", "at")).alias("rows"))
+
+
+def _multiply_blocks(blocks: DataFrame, percent: int, path: str, tasks: int) -> DataFrame:
+    """Links (a, b) between sets of different components in the blocks of a gram, those of one block included."""
+    name = F.struct("own", "of", "part")
+    left = blocks.select("gram", F.col("size").alias("size1"), name.alias("b1"), F.col("rows").alias("rows1"))
+    right = blocks.select("gram", F.col("size").alias("size2"), name.alias("b2"), F.col("rows").alias("rows2"), F.explode(F.array("size", F.col("size") - 1)).alias("size1"))
+    pairs = left.join(right, ["gram", "size1"]).filter("(size1 < size2 or b1 <= b2) and not (b1.own and b2.own and b1.of = b2.of)")
+    pairs = pairs.select("rows1", "rows2", F.expr("size1 = size2 and b1 = b2").alias("same"), F.xxhash64("gram", "size1", "size2", "b1", "b2").alias("k"))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        arrays: dict = {}
+
+        def of(name: str):
+            if name not in arrays:
+                if len(arrays) > 256:
+                    arrays.clear()
+                arrays[name] = map_flat(f"{path}/rows-{name}", "<u8")
+            return arrays[name]
+
+        for batch in batches:
+            for one, two, same in zip(*(batch[c] for c in ("rows1", "rows2", "same"))):
+                one, two = one.as_py(), two.as_py()
+                (id1, n1, pos1, c1), (id2, n2, pos2, c2) = ([np.array([r[k] for r in side], np.int64) for k in ("id", "n", "pos", "c")] for side in (one, two))
+                n1, pos1, c1 = n1[:, None], pos1[:, None], c1[:, None]
+                need = -(-percent * (n1 + n2) // (100 + percent))
+                wanted = (c1 != c2) & (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1) & (np.minimum(n1 - pos1, n2 - pos2) >= need)
+                if same.as_py():
+                    wanted = np.triu(wanted, 1)
+                if wanted.any():
+                    sets = ([of(r["file"])[r["at"] : r["at"] + r["n"]] for r in side] for side in (one, two))
+                    a, b = np.nonzero(whole_product(*sets, wanted, percent))
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(id1[a]), pa.array(id2[b])], names=["a", "b"])
+
+    return pairs.repartition(tasks, "k").select("rows1", "rows2", "same").mapInArrow(tidy(run), "a long, b long")
+
+
 #: Parts of a group of equal sets, so that no task has to join a large one.
 SALTS = 64
 
@@ -399,30 +489,16 @@ def _classes(docs: DataFrame, width: int, percent: int, buckets: int | None) ->
     # Taken as the first gram that a pair shares, a gram leaves no more overlap than what follows it in either set; at the one that really is the first, no linked pair fails.
     need = lambda n1, n2: f"ceil({percent} * ({n1} + {n2}) / {100 + percent})"
     able = lambda df: df.filter(fits("n1", "n2")).filter(fits("n2", "n1")).filter(f"least(n1 - pos1, n2 - pos2) >= {need('n1', 'n2')}")
-    pair = (F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
-
-    def apart(joined: DataFrame) -> DataFrame:
-        """What is left: prefix grams that sets of different components share."""
-        known = hot.select("gram", "id", "n", "pos").join(joined, "id", "left").select("gram", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
-        return written(known.join(known.groupBy("gram").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("gram"), "gram"), "mixed", scratch)
-
-    side = lambda df, k: df.select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("id", "n", "pos", "c")))
-    mixed = apart(joined)
-    for turn in range(STAR_TURNS):
-        # Another star in each gram, around a set drawn by the gram, so that the sets of a large group meet many different ones.
-        centre = mixed.groupBy("gram").agg(F.min_by(F.struct("id", "n", "pos", "c"), F.xxhash64("gram", "id", F.lit(turn))).alias("x")).select("gram", "x.*")
-        stars = able(side(mixed, 1).join(side(centre, 2), "gram").filter("c1 <> c2")).select(*pair).distinct()
-        linked = linked.unionByName(written(_multiply(stars, rows, percent, path), "links", scratch))
-        joined = connected_components(linked, scratch)
-        mixed = apart(joined)
-    x, y = (side(mixed, k) for k in "12")
-    groups = mixed.groupBy("gram", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("left"))
-    g1, g2 = (groups.select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("c", "lo", "hi", "left"))) for k in "12")
-    across = g1.join(g2, "gram").filter("c1 < c2").filter(fits("hi1", "lo2")).filter(fits("hi2", "lo1")).filter(f"least(left1, left2) >= {need('lo1', 'lo2')}")
-    across = across.select("gram", "c1", "c2")
-    rest = able(across.join(x, ["gram", "c1"]).join(y, ["gram", "c2"])).select(*pair).distinct()
+    # What is left: prefix grams that sets of different components share.
+    known = hot.select("gram", "id", "n", "pos").join(joined, "id", "left").select("gram", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
+    across = known.groupBy("gram").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m")).filter("c1 < c2").select("gram", "m")
+    mixed = written(known.join(across, "gram"), "mixed", scratch)
+    x, y = (mixed.filter(F.col("m") <= LISTED).select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("id", "n", "pos", "c"))) for k in "12")
+    rest = able(x.join(y, "gram").filter("id1 < id2 and c1 <> c2")).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
     more = _multiply(rest, rows, percent, path)
-    final = connected_components(linked.unionByName(more).unionByName(members), scratch)
+    blocks = written(_blocks(mixed.filter(F.col("m") > LISTED), rows, percent), "blocks", scratch)
+    more = more.unionByName(_multiply_blocks(blocks, percent, path, buckets))
+    final = connected_components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(members), scratch)
     out = sets.join(final, sets["doc_id"] == final["id"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
     result = written(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id"), "classes")
     scratch.clear()

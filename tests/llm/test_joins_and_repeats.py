@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.llm.components import connected_components
-from matchloom.llm.jaccard import Block, jaccard_classes, products
+from matchloom.llm.jaccard import Block, jaccard_classes, products, whole_product
 from matchloom.llm.substring_dedup import drop_repeats
 
 SCHEMA = "doc_id long, text string, source string, bucket int, id long"
@@ -71,6 +71,40 @@ def test_large_groups_of_copies_are_joined_in_parts(spark):
     assert all(got[i] == 1 for i in range(1, 501)) and all(got[i] == i for i in range(600, 605))
 
 
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80), (2, 60)])
+def test_near_copies_of_one_text_in_many_blocks(spark, width, percent):
+    """Sets around one text, near enough to share its rare grams and often too far to be linked."""
+    import random
+
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(260):
+        words = base[: rng.choice((60, 80, 100, 120))]
+        for _ in range(rng.choice((0, 1, 2, 4, 9))):
+            words[rng.randrange(6, len(words))] = f"x{i}"
+        rows.append((i, " ".join(words), None, 0, 0))
+    got = jaccard_classes(spark.createDataFrame(rows, SCHEMA).repartition(5), width, percent).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == classes(rows, width, percent)
+
+
+def test_whole_products_are_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    base = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (3, 40, 300)]
+    rows = [np.sort(rng.choice(x, max(1, len(x) - k), replace=False)) for x in base for k in (0, 1, 5, 20)]
+    wanted = rng.random((len(rows), len(rows))) < 0.8
+    for percent in (1, 50, 80, 90, 100):
+        for width in (7, 1 << 15):
+            got = whole_product(rows, rows, wanted, percent, width)
+            for p, x in enumerate(rows):
+                for q, y in enumerate(rows):
+                    both = len(np.intersect1d(x, y))
+                    assert got[p, q] == (wanted[p, q] and 100 * both >= percent * (len(x) + len(y) - both))
+    assert not whole_product(rows, rows, np.zeros_like(wanted), 80).any()
+
+
 def test_products_of_blocks_are_exact():
     import numpy as np
 
