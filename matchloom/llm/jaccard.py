@@ -295,7 +295,7 @@ def products(x: Block, y: Block, i, j, percent: int, stretches: int = 8):
 BLOCK_ENTRIES = 1 << 20
 
 
-def _multiply(pairs: DataFrame, rows: DataFrame, percent: int, path: str) -> DataFrame:
+def _multiply(pairs: DataFrame, rows: DataFrame, percent: int, path: str, tasks: int) -> DataFrame:
     """Those of the pairs (a, b) that reach the bound. Pairs are put together by the files of their rows, and make the blocks and the entries of a product as they come."""
     left, right = (rows.select(F.col("id").alias(c), F.struct("file", "at", "n").alias(f"{c}_row")) for c in "ab")
     placed = pairs.join(left, "a").join(right, "b").select("a", "b", "a_row.file", F.col("b_row.file").alias("file2"), F.col("a_row.at"), F.col("a_row.n"), F.col("b_row.at").alias("at2"), F.col("b_row.n").alias("n2"))
@@ -332,7 +332,7 @@ def _multiply(pairs: DataFrame, rows: DataFrame, percent: int, path: str) -> Dat
         if entries:
             yield multiply(entries, x, y)
 
-    return placed.repartition("file", F.pmod(F.xxhash64("a", "b"), F.lit(64))).sortWithinPartitions("file", "file2", "at").mapInArrow(tidy(run), "a long, b long")
+    return placed.repartition(tasks, "file", F.pmod(F.xxhash64("a", "b"), F.lit(64))).sortWithinPartitions("file", "file2", "at").mapInArrow(tidy(run), "a long, b long")
 
 
 #: Sets of a gram whose pairs are listed one by one; the sets of a more frequent gram are multiplied in blocks of BLOCK_ROWS.
@@ -484,7 +484,7 @@ def _classes(docs: DataFrame, width: int, percent: int, buckets: int | None) ->
     rows = _store_rows(docs, hot.select("id").distinct(), width, path, buckets, scratch)
     fits = lambda n1, n2: f"100 * {n1} >= {percent} * {n2}"
     stars = hot.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    linked = written(_multiply(stars, rows, percent, path), "links", scratch)
+    linked = written(_multiply(stars, rows, percent, path, buckets), "links", scratch)
     joined = connected_components(linked, scratch)
     # Taken as the first gram that a pair shares, a gram leaves no more overlap than what follows it in either set; at the one that really is the first, no linked pair fails.
     need = lambda n1, n2: f"ceil({percent} * ({n1} + {n2}) / {100 + percent})"
@@ -495,7 +495,7 @@ def _classes(docs: DataFrame, width: int, percent: int, buckets: int | None) ->
     mixed = written(known.join(across, "gram"), "mixed", scratch)
     x, y = (mixed.filter(F.col("m") <= LISTED).select("gram", *(F.col(c).alias(f"{c}{k}") for c in ("id", "n", "pos", "c"))) for k in "12")
     rest = able(x.join(y, "gram").filter("id1 < id2 and c1 <> c2")).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
-    more = _multiply(rest, rows, percent, path)
+    more = _multiply(rest, rows, percent, path, buckets)
     blocks = written(_blocks(mixed.filter(F.col("m") > LISTED), rows, percent), "blocks", scratch)
     more = more.unionByName(_multiply_blocks(blocks, percent, path, buckets))
     final = connected_components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(members), scratch)
