@@ -484,8 +484,7 @@ def _classes(docs: DataFrame, width: int, percent: int, buckets: int | None) ->
     rows = _store_rows(docs, hot.select("id").distinct(), width, path, buckets, scratch)
     fits = lambda n1, n2: f"100 * {n1} >= {percent} * {n2}"
     stars = hot.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    linked = written(_multiply(stars, rows, percent, path, buckets), "links", scratch)
-    joined = connected_components(linked, scratch)
+    joined = connected_components(_multiply(stars, rows, percent, path, buckets), scratch)
     # Taken as the first gram that a pair shares, a gram leaves no more overlap than what follows it in either set; at the one that really is the first, no linked pair fails.
     need = lambda n1, n2: f"ceil({percent} * ({n1} + {n2}) / {100 + percent})"
     able = lambda df: df.filter(fits("n1", "n2")).filter(fits("n2", "n1")).filter(f"least(n1 - pos1, n2 - pos2) >= {need('n1', 'n2')}")
