@@ -80,9 +80,29 @@ def benchmark_records(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("id").cast("string").alias("rec_id"), F.coalesce(*named, F.lit("Unknown")).alias("name"), T.blank("manufacturer").alias("manufacturer") if "manufacturer" in has else F.lit("").alias("manufacturer"))
 
 
+#: Rows of a range that are ranked together, on average, and the most ranges.
+RANGE_ROWS, RANGES = 50_000, 1024
+
+
+def _range_of(x: Column, bounds: list, first: int = 0) -> Column:
+    """How many of the sorted bounds are x or less, by halves."""
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    return F.when(x < F.lit(bounds[half]), _range_of(x, bounds[:half], first)).otherwise(_range_of(x, bounds[half + 1 :], first + half + 1))
+
+
 def benchmark_catalog(records: DataFrame, order: str, prefix: str) -> DataFrame:
-    """A catalogue of numbered records with made codes. Numbers are ranks over ranges of the order, so no task ranks all."""
-    ranged = records.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    """A catalogue of numbered records with made codes. Numbers are ranks over ranges of the order, so no task ranks all.
+
+    A range exchange draws its bounds anew each time it runs, so they are taken once, one a range, and are literals from there on: counts and ranks are then of the same ranges."""
+    ranges = min(RANGES, -(-records.count() // RANGE_ROWS))
+    bounds = []
+    if ranges > 1:
+        least = records.select(order).repartitionByRange(ranges, order).groupBy(F.spark_partition_id().alias("_p")).agg(F.min(order).alias("least"))
+        bounds = sorted({r["least"] for r in least.filter("least is not null").collect()})[1:]
+    key = F.col(order)
+    ranged = records.withColumn("_p", F.when(key.isNull(), F.lit(0)).otherwise(_range_of(key, bounds)))
     counts = ranged.groupBy("_p").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     numbered = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(order))).join(F.broadcast(counts), "_p")
     number = F.col("_before") + F.col("_r")

@@ -40,3 +40,14 @@ def differ(spark, folder, name):
 @pytest.mark.parametrize("name", ["q_route", "q_problem_class", "q_pipeline_summary", "q_audit_summary"])
 def test_shared_event_ids(spark, long_keys, name):
     assert not differ(spark, long_keys, name)
+
+
+@pytest.fixture(scope="module")
+def many_rows(tmp_path_factory):
+    return made(tmp_path_factory.mktemp("many_rows"), "sf0.1", range(0, 120_000, 20_000))
+
+
+@pytest.mark.parametrize("name", ["q_benchmark_catalog"])
+def test_numbers_without_gaps(spark, many_rows, name):
+    """Of so many rows that a range exchange only samples them for its bounds."""
+    assert not differ(spark, many_rows, name)
