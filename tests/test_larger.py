@@ -47,7 +47,7 @@ def many_rows(tmp_path_factory):
     return made(tmp_path_factory.mktemp("many_rows"), "sf0.1", range(0, 120_000, 20_000))
 
 
-@pytest.mark.parametrize("name", ["q_benchmark_catalog"])
+@pytest.mark.parametrize("name", ["q_benchmark_catalog", "q_benchmark_events"])
 def test_numbers_without_gaps(spark, many_rows, name):
     """Of so many rows that a range exchange only samples them for its bounds."""
     assert not differ(spark, many_rows, name)
