@@ -220,6 +220,44 @@ def test_ranking_matches_all_pairs(spark):
     assert V.rank_candidates(frames[0].limit(0), frames[1]).count() == 0 and V.rank_candidates(frames[0], frames[1].limit(0)).count() == 0
 
 
+def test_near_codes():
+    """Against the distance of every pair, with letters of any kind and codes as short as they can be."""
+    from matchloom.operators import blocks as K
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
+            row = now
+        return row[-1]
+
+    rng = random.Random(5)
+    for most in (2, 5, 9):
+        some = lambda n: sorted({"".join(rng.choice("01é") for _ in range(rng.randint(1, most))) for _ in range(n)})
+        codes, asked = some(60), some(40)
+        got = sorted(zip(*(x.tolist() for x in K.near_codes(codes, asked))))
+        assert got == [(i, j, d) for i, c in enumerate(codes) for j, a in enumerate(asked) if (d := distance(a, c)) <= 2]
+    assert [len(x) for x in K.near_codes([], ["1"])] == [0, 0, 0]
+
+
+def test_ranking_takes_each_text_once(spark, monkeypatch):
+    """Rows and queries that share brand and name meet as one text, whatever their codes; copies still are ranked one by one."""
+    met = []
+    against = V.K.against
+    monkeypatch.setattr(V.K, "against", lambda rows, row_key, queries, *rest, **more: met.append((rows.count(), queries.count())) or against(rows, row_key, queries, *rest, **more))
+    rng = random.Random(7)
+    texts = [("Acme", "oat bar"), ("Akme", "oat bars"), ("Mars", "dark choc"), ("Mars", "milk choc puff")]
+    catalog = [(i, "5" + "".join(rng.choice("01") for _ in range(12)), *texts[i % 4]) for i in range(160)]
+    asked = [(1000 + i, ("Mars Ltd.", "Acme")[i % 2], ("choc dark", "oat bar")[i % 2], (catalog[7 * i][1], catalog[i][1][:12])[i % 3 == 0]) for i in range(20)]
+    frames = spark.createDataFrame(asked, "query_id long, brand string, name string, gtin string"), spark.createDataFrame(catalog, "master_id long, gtin string, brand string, product_name string")
+    got = V.rank_candidates(*frames, k=4).collect()
+    assert met[-1] == (4, 2)
+    want = plain_ranking(asked, catalog)
+    assert len(got) == 80 and all(r["master_id"] == want[r["query_id"]][r["rank"] - 1][1] and abs(r["combined"] + want[r["query_id"]][r["rank"] - 1][0]) < 1e-9 for r in got)
+
+
 def test_calibrators(spark):
     rng = random.Random(3)
     rows = [(x, int(rng.random() < 1 / (1 + math.exp(-(8 * x - 3))))) for x in (rng.random() for _ in range(4000))]
