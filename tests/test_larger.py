@@ -37,7 +37,7 @@ def differ(spark, folder, name):
     return con.execute(f"select * from (select {columns} from got except all select * from want) union all select * from (select * from want except all select {columns} from got)").fetchall()
 
 
-@pytest.mark.parametrize("name", ["q_route", "q_problem_class", "q_pipeline_summary", "q_audit_summary"])
+@pytest.mark.parametrize("name", ["q_route", "q_problem_class", "q_pipeline_summary", "q_audit_summary", "q_decisions"])
 def test_shared_event_ids(spark, long_keys, name):
     assert not differ(spark, long_keys, name)
 
