@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import documents, written
+from matchloom.llm.common import documents, free_name, rows_with, written
 from matchloom.llm.jaccard import jaccard_classes
 from matchloom.llm.mixing import mixed_documents
 from matchloom.llm.packing import pack
@@ -29,12 +29,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A row is told by the hash of its doc_id and text: only rows that repeat both are one, and texts under one doc_id, or under none, are compared like any others. Of linked texts
     under one doc_id that of the least hash stays."""
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    key = F.xxhash64(doc_id, F.col("text").isNull(), "text").alias("key")
+    key = F.xxhash64(doc_id, F.col("text").isNull(), "text")
     classes = jaccard_classes(docs.select(key.alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("key"), "component_id").distinct()
-    ids = docs.select(key, doc_id.alias("id")).distinct()
-    stays = classes.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least")).select("least.key")
-    kept = docs.select(key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")).join(stays, "key")
-    return kept.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("doc"))).filter("n = 1").select("doc.*")
+    ids = docs.select(key.alias("key"), doc_id.alias("id")).groupBy("key", "id").agg(F.count("*").alias("n"))
+    least = classes.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "key", "n")).alias("least"))
+    stays = written(least.select("least.key", "least.n"), "stays")
+    again = stays.filter("n > 1").select("key")
+    kept = rows_with(docs, key, stays.filter("n = 1").select("key"), "once")  # no text is exchanged
+    if again.isEmpty():
+        return kept
+    name = free_name(docs, "n")
+    order = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    some = rows_with(docs, key, again, "again").withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(order)))
+    return kept.unionByName(some.filter(F.col(name) == 1).drop(name))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

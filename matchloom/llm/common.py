@@ -147,6 +147,46 @@ class Scratch:
         self.paths.clear()
 
 
+def rows_with(df: DataFrame, key: Column, wanted: DataFrame, name: str) -> DataFrame:
+    """Rows of df whose key, a long, is one of wanted's only column. The keys go to the workers as sorted arrays in files, so no row of df is exchanged."""
+    spark = df.sparkSession
+    small_batches(spark)
+    path, buckets = fresh_dir(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def sort_keys(group, table):
+        import numpy as np
+        import pyarrow as pa
+
+        write_flat(f"{path}/keys-{group[0].as_py()}", np.unique(table["key"].to_numpy()).astype("<i8").tobytes())
+        return pa.table({"bucket": pa.array([group[0].as_py()], pa.int32())})
+
+    bucket_of = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+    bucketed = wanted.toDF("key").select(bucket_of(F.col("key")).alias("bucket"), "key")
+    found = {r["bucket"] for r in bucketed.groupBy("bucket").applyInArrow(sort_keys, "bucket int").collect()}  # a row a bucket
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        lists: dict = {}
+        for batch in batches:
+            keys, bucket = (batch.column(i).to_numpy() for i in (0, 1))
+            keep = np.zeros(len(keys), bool)
+            for b in np.unique(bucket).tolist():
+                if b in found:
+                    if b not in lists:
+                        lists[b] = map_flat(f"{path}/keys-{b}", "<i8")
+                    own = bucket == b
+                    at = np.minimum(np.searchsorted(lists[b], keys[own]), len(lists[b]) - 1)
+                    keep[own] = lists[b][at] == keys[own]
+            if keep.any():
+                yield pa.RecordBatch.from_arrays(batch.columns[2:], names=batch.schema.names[2:]).filter(pa.array(keep))
+
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    first, second = free_name(df, "key"), free_name(df, "bucket")
+    return df.select(key.alias(first), bucket_of(key).alias(second), *columns).mapInArrow(tidy(run), df.schema)
+
+
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A bounded driver-made table as a literal: no RDD and no Python worker reads it."""
     import json

@@ -107,3 +107,17 @@ def test_run_is_the_stages(spark, steps):
 
 def test_a_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+
+
+def test_near_duplicates_exchange_no_text(spark):
+    """Texts stay where they are: only keys are joined, and rows that repeat id and text still are one."""
+    import corpus_pipeline
+
+    words = [" ".join(f"w{(7 * i + j) % 97}{i % 5}" for j in range(40)) for i in range(5)]
+    rows = [(i, words[i % 5] if i else None, "en") for i in range(12)] + [(3, words[3], "en"), (3, words[3], "de"), (None, "one more text", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    once = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows[:12] + rows[14:], docs.schema), "")
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Window", "Join"))
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in once.collect()) == [(False, 0), (True, 0), (True, 1), (True, 2), (True, 3), (True, 4), (True, 5)]
+    assert sorted((r["doc_id"], r["lang"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect() if r["doc_id"] == 3) == [(3, "de")]
