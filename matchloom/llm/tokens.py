@@ -17,16 +17,23 @@ from itertools import islice
 from matchloom.llm.common import kept
 
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
-#: Entries that a worker keeps of whole pieces and of what they are made of; beyond it starts anew.
-KEPT_PIECES, KEPT_CORES = 600_000, 800_000
+#: Entries that a worker keeps of pieces, and of what ends them; beyond it starts anew.
+KEPT_PIECES, KEPT_ENDS = 1_100_000, 200_000
 
 #: New pieces of one string, which costs less than as many strings.
-JOINED = 200
-_WIDE, _ALONE = re.compile(r" \s|\s "), re.compile(r"(?<=\S) (?=\S)")
+JOINED = 500
+_OTHER_SPACE, _ALONE = re.compile(r"[^\S \n]"), re.compile(r"(?<=\S) (?=\S)")
 
 _encoders: dict[str, Encoder] = kept({})
 
 
+def _words(text: str) -> list[str]:
+    """Cut at each space that stands alone between two other characters."""
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER_SPACE.search(text):
+        return _ALONE.split(text)
+    return text.split(" ")
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,8 +44,7 @@ class Encoder:
         self.lengths = array("I", bytes(4 * (max(vocabulary.values()) + 1)))
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)  # in the byte alphabet, one character a byte
-        self.pieces: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # words that follow a space, and what is left of them without their ends
         self.ends: dict[str, bytes] = {}
 
     @classmethod
@@ -46,26 +52,29 @@ class Encoder:
         """One for each worker process and vocabulary."""
         return _encoders.get(path) or _encoders.setdefault(path, cls(path))
 
-    def _encode_new(self, new: Iterable[str]) -> None:
+    def _encode_new(self, new: set[str]) -> None:
         """new: words that follow a space, without it."""
-        cores, need, cut = self.cores, set(), []
-        for word in new:
+        pieces, ends, ended = self.pieces, self.ends, []
+        need = set(filter(str.isalpha, new))
+        for word in new - need:
             core = word.rstrip(PUNCTUATION)
             if core == word or not core.isalpha():
-                core = word
-            rest = word[len(core) :]
-            cut.append((word, core, rest))
-            if core not in cores:
-                need.add(" " + core)
-            if rest and rest not in self.ends:
-                self.ends[rest] = self._encode([rest])[0]
+                need.add(word)
+                continue
+            ended.append(word)
+            if core not in pieces:
+                need.add(core)
         need = list(need)
-        cores.update(zip((x[1:] for x in need), self._encode_spaced(need)))
-        ends = self.ends
-        self.pieces.update((word, cores[core] + ends[rest] if rest else cores[core]) for word, core, rest in cut)
+        pieces.update(zip(need, self._encode_spaced(need)))
+        for word in ended:
+            core = word.rstrip(PUNCTUATION)
+            rest = word[len(core) :]
+            if rest not in ends:
+                ends[rest] = self._encode([rest])[0]
+            pieces[word] = pieces[core] + ends[rest]
 
     def _encode_spaced(self, texts: list[str]) -> list[bytes]:
-        """Of texts that start with a space and hold none next to another."""
+        """Of texts with a space before each, none of which holds two next to each other."""
         import numpy as np
 
         out: list[bytes] = []
@@ -73,13 +82,13 @@ class Encoder:
         groups = [texts[i : i + JOINED] for i in range(0, len(texts), JOINED)]
         for at in range(0, len(groups), 100):
             some = groups[at : at + 100]
-            for group, found in zip(some, self.tokenizer.encode_batch_fast(["".join(g) for g in some], add_special_tokens=False)):
+            for group, found in zip(some, self.tokenizer.encode_batch_fast([f" {' '.join(g)}" for g in some], add_special_tokens=False)):
                 ids = np.array(found.ids, "<u4")
                 ends = np.cumsum(lengths[ids])
-                want = np.cumsum([len(x.encode()) for x in group])
+                want = np.cumsum(np.fromiter(map(len, map(str.encode, group)), np.int64, len(group)) + 1)
                 cut = np.searchsorted(ends, want)
                 if len(ids) == 0 or cut[-1] >= len(ids) or (ends[cut] != want).any():  # a piece that isn't one here: each by itself
-                    out += self._encode(group)
+                    out += self._encode([f" {x}" for x in group])
                     continue
                 data, stops = ids.tobytes(), (4 * (cut + 1)).tolist()
                 out += [data[a:b] for a, b in zip([0, *stops], stops)]
@@ -91,22 +100,17 @@ class Encoder:
             out += [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
         return out
 
-    def encode(self, texts: Iterable[str | None], batch: int = 64) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None], batch: int = 256) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
         texts = iter(texts)
         while some := list(islice(texts, batch)):
             if len(self.pieces) > KEPT_PIECES:
                 self.pieces.clear()
-            if len(self.cores) > KEPT_CORES:
-                self.cores.clear()
-            if len(self.ends) > KEPT_PIECES:
+            if len(self.ends) > KEPT_ENDS:
                 self.ends.clear()
-            find = self.pieces.get
-            words = [_ALONE.split(text) if _WIDE.search(text) else text.split(" ") for text in (t or "" for t in some)]
-            firsts = self._encode([x[0] for x in words])  # what stands before the first space has none itself
-            found = [list(map(find, islice(x, 1, None))) for x in words]
-            missing = {w for ws, ids in zip(words, found) if None in ids for w, x in zip(islice(ws, 1, None), ids) if x is None}
-            if missing:
-                self._encode_new(missing)
-            for first, ws, ids in zip(firsts, words, found):
-                yield first + b"".join(ids if None not in ids else map(self.pieces.__getitem__, islice(ws, 1, None)))
+            words = [_words(text or "") for text in some]
+            firsts = self._encode([x.pop(0) for x in words])  # what stands before the first space has none itself
+            self._encode_new(set().union(*words).difference(self.pieces))
+            find = self.pieces.__getitem__
+            for first, ws in zip(firsts, words):
+                yield first + b"".join(map(find, ws))

@@ -260,3 +260,12 @@ def test_mixed_documents_hold_what_was_taken(spark):
             assert r["text"] == text[r["doc_id"]]
     assert all(got[i] == n for i, n in taken.items() if i != 105) and got[105] >= taken[105] > 0
     assert mixed_documents(df.limit(0)).collect() == []
+
+
+def test_encoder_keeps_a_piece_once():
+    """A word that nothing ends is looked up where the words made of it are, so it takes one entry."""
+    encoder = Encoder(PATH)
+    texts = ["x alpha beta, alpha. gamma;", "gamma x beta (alpha) b\nc"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [plain(t) for t in texts]
+    assert set(encoder.pieces) == {"alpha", "alpha.", "beta", "beta,", "gamma", "gamma;", "x", "(alpha)", "b\nc"}
+    assert not any(isinstance(x, dict) and "alpha" in x for name, x in vars(encoder).items() if name != "pieces")
