@@ -24,8 +24,8 @@ from matchloom.llm.jaccard import _WORDS, KEPT_WORDS, _raw
 from matchloom.llm.language_model import _blob_batch, _by_bucket, _mix, _unpacked
 
 MIN_LINE, MIN_RUN = 5, 20
-#: Units of a task that are held before they are sent on.
-HELD = 1_500_000
+#: Units of a task that are held before they are sent on. Telling them apart takes some 100 bytes each beside what is held.
+HELD = 500_000
 SIGN = 1 << 63
 BASE = 0xD1342543DE82EF95
 BASE_BACK = pow(BASE, -1, 1 << 64)
@@ -119,34 +119,39 @@ def _losers(digest, doc, place):
     return order[first], order[later]
 
 
-def _find(docs: DataFrame, path: str, buckets: int, min_line: int, min_run: int) -> set[int]:
-    """Stores what is to be cut by bucket of documents; returns the buckets that have anything."""
+def _lost(digest, doc, place, buckets: int) -> Iterator[tuple]:
+    """Rows of blobs by document."""
+    import numpy as np
 
-    def lost(digest, doc, place) -> Iterator[tuple]:
-        """Rows of blobs by document."""
-        import numpy as np
+    order = np.argsort(doc, kind="stable")
+    doc, place, digest = doc[order], place[order], digest[order]
+    return _by_bucket(doc, _doc_bucket(doc, buckets), place, digest)
+
+
+def _told_apart(held: list[tuple], buckets: int):
+    """Of what is held, which it empties: the earliest of each digest by digest, to be compared with other tasks, and by document those that are surely later."""
+    import numpy as np
+    import pyarrow as pa
 
-        order = np.argsort(doc, kind="stable")
-        doc, place, digest = doc[order], place[order], digest[order]
-        return _by_bucket(doc, _doc_bucket(doc, buckets), place, digest)
+    digest, doc, place = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    first, later = _losers(digest, doc, place)
+    keys = digest[first]  # ascending
+    open_rows = list(_by_bucket(keys, (_mix(keys) >> np.uint64(40)).astype(np.int64) % buckets, doc[first], place[first]))
+    sure = list(_lost(digest[later], doc[later], place[later], buckets)) if len(later) else []
+    batch = _blob_batch(open_rows + sure)
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array([False] * len(open_rows) + [True] * len(sure))], names=["bucket", "n", "blob", "sure"])
+
+
+def _find(docs: DataFrame, path: str, buckets: int, min_line: int, min_run: int) -> set[int]:
+    """Stores what is to be cut by bucket of documents; returns the buckets that have anything."""
 
     def scan(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
         held: list[tuple] = []
         n = 0
 
-        def flush():
-            digest, doc, place = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            first, later = _losers(digest, doc, place)
-            keys = digest[first]  # ascending
-            open_rows = list(_by_bucket(keys, (_mix(keys) >> np.uint64(40)).astype(np.int64) % buckets, doc[first], place[first]))
-            sure = list(lost(digest[later], doc[later], place[later])) if len(later) else []
-            batch = _blob_batch(open_rows + sure)
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array([False] * len(open_rows) + [True] * len(sure))], names=["bucket", "n", "blob", "sure"])
-
         for batch in batches:
             for doc_id, raw in zip(batch["doc_id"].to_pylist(), batch["raw"].to_pylist()):
                 units = Units(raw or b"", min_line, min_run)
@@ -154,10 +159,10 @@ def _find(docs: DataFrame, path: str, buckets: int, min_line: int, min_run: int)
                     held.append((units.digest, np.full(len(units.digest), doc_id + SIGN, np.uint64), units.place))
                     n += len(units.digest)
                 if n > HELD:
-                    yield flush()
+                    yield _told_apart(held, buckets)
                     n = 0
         if held:
-            yield flush()
+            yield _told_apart(held, buckets)
 
     def compare(key, table):
         import numpy as np
@@ -166,7 +171,7 @@ def _find(docs: DataFrame, path: str, buckets: int, min_line: int, min_run: int)
         parts = [_unpacked(b, n, 2) for n, b in zip(table["n"].to_pylist(), table["blob"].to_pylist())]
         digest, doc, place = (np.concatenate(x) for x in zip(*parts))
         _, later = _losers(digest, doc, place)
-        rows = list(lost(digest[later], doc[later], place[later])) if len(later) else []
+        rows = list(_lost(digest[later], doc[later], place[later], buckets)) if len(later) else []
         return pa.Table.from_batches([_blob_batch(rows)])
 
     def store(key, table):

@@ -195,3 +195,19 @@ def test_rows_that_repeat_keep_the_same(spark):
     got = drop_repeats(spark.createDataFrame([(1, line, "", 1, 1), (1, line, "", 1, 1), (2, line, "", 1, 1)], SCHEMA)).orderBy("doc_id").collect()
     assert [r["text"] for r in got] == [line, line, ""]
     assert F is not None
+
+
+def test_units_held_are_told_apart_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from matchloom.llm import substring_dedup as S
+
+    rng = np.random.default_rng(1)
+    held = [(rng.integers(0, 1 << 62, 1000).astype(np.uint64), np.full(1000, i, np.uint64), np.arange(1000).astype(np.uint64)) for i in range(S.HELD // 1000)]
+    tracemalloc.start()
+    S._told_apart(held, 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
