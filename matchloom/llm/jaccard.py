@@ -26,19 +26,60 @@ from matchloom.llm.components import connected_components
 SKETCH = 1 << 20
 
 
-def shingle_hashes(words: list[bytes], width: int):
-    """Distinct 64-bit hashes of a text's shingles, ascending; of all its words if they are fewer."""
+#: Bytes of a word that is hashed along with all others; a longer one is hashed by itself.
+LONG_WORD = 64
+_SPACES = bytes(x in b" \t\n\v\f\r" for x in range(256))
+
+
+def _mix(x):
+    """Of 64-bit numbers, in place: different ones stay different."""
+    import numpy as np
+
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def word_hashes(data: bytes):
+    """(starts, 64-bit hashes) of the words of data, whose first byte and last 16 are spaces and whose length is a multiple of 8."""
+    import numpy as np
+    import xxhash
+
+    space = np.frombuffer(_SPACES, bool)[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    eights = np.frombuffer(data, "<u8")
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+    def eight(at, left):
+        """The bytes from each place on, at most 8 and no more than are left of the word, as a number."""
+        k, shift = at >> 3, (at & 7).astype(np.uint64) << np.uint64(3)
+        return (eights[k] >> shift | eights[k + 1] << np.uint64(64) - shift) & masks[np.minimum(left, 8)]  # a shift by 64 gives 0
+
+    out = _mix(_mix(lengths.astype(np.uint64)) ^ eight(starts, lengths))
+    for k in range(8, LONG_WORD, 8):
+        more = np.flatnonzero(lengths > k)
+        if not len(more):
+            break
+        out[more] = _mix(out[more] ^ eight(starts[more] + k, lengths[more] - k))
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]])
+    return starts, out
+
+
+def shingle_hashes(texts: list[bytes | None], width: int) -> list:
+    """Of each text the distinct 64-bit hashes of its shingles, ascending; of all its words if they are fewer. All words of the texts are hashed at once."""
     import numpy as np
     import xxhash
 
-    if not words:
-        return np.empty(0, np.uint64)
-    ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    if len(_WORDS) > KEPT_WORDS:
-        _WORDS.clear()
-    if len(words) < width:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), len(words))], np.uint64)
-    n = len(words) - width + 1
+    data = b" ".join([b"", *(x or b"" for x in texts), b""]).lower()
+    starts, ids = word_hashes(data + b" " * (16 + -len(data) % 8))
+    ends = np.cumsum([1 + len(x or b"") for x in texts], dtype=np.int64)
+    last = np.searchsorted(starts, ends, side="right").tolist()  # a text is followed by a space, so no word begins there
+    n = max(0, len(ids) - width + 1)
     out = ids[:n].copy()
     for k in range(1, width):
         out ^= out >> np.uint64(32)
@@ -47,7 +88,20 @@ def shingle_hashes(words: list[bytes], width: int):
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
-    return np.unique(out)
+    sets = []
+    for text, a, b in zip(texts, [0, *last], last):
+        if b - a >= width:
+            own = out[a : b - width + 1]
+            own.sort()
+            keep = np.empty(len(own), bool)
+            keep[0] = True
+            np.not_equal(own[1:], own[:-1], out=keep[1:])
+            sets.append(own[keep])
+        elif b > a:
+            sets.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(_words(text)), b - a)], np.uint64))
+        else:
+            sets.append(np.empty(0, np.uint64))
+    return sets
 
 
 class _Hashes(dict):
@@ -58,7 +112,7 @@ class _Hashes(dict):
         return out
 
 
-#: Words that a worker keeps with their hashes.
+#: Words that a worker keeps with their hashes, for op1.
 KEPT_WORDS = 300_000
 _WORDS = kept(_Hashes())
 
@@ -80,8 +134,7 @@ def _sketch(docs: DataFrame, width: int, path: str, slices: int = 16) -> None:
 
         held, n, total = [], 0, np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for raw in batch["raw"].to_pylist():
-                grams = shingle_hashes(_words(raw), width)
+            for grams in shingle_hashes(batch["raw"].to_pylist(), width):
                 held.append(grams & np.uint64(SKETCH - 1))
                 n += len(grams)
                 if n > 500_000:
@@ -131,12 +184,11 @@ def _sets(docs: DataFrame, width: int, percent: int, path: str) -> DataFrame:
         counts = _mapped_sketch(path)
         for batch in batches:
             rows = []
-            for doc_id, raw in zip(batch["doc_id"].to_pylist(), batch["raw"].to_pylist()):
-                grams = shingle_hashes(_words(raw), width)
+            for doc_id, grams in zip(batch["doc_id"].to_pylist(), shingle_hashes(batch["raw"].to_pylist(), width)):
                 n = len(grams)
                 least = -(-percent * n // 100)  # overlap with any partner, which has percent of its grams at least
                 keep = n - least + 1 if n else 0
-                rarest = np.lexsort((grams, counts[(grams & np.uint64(SKETCH - 1)).astype(np.int64)]))[:keep]
+                rarest = np.argsort(counts[(grams & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[:keep]  # grams ascend, and so do those of one count
                 digest = xxhash.xxh3_128_digest(grams.tobytes())
                 rows.append((doc_id, n, digest, grams[rarest].view(np.int64)))
             columns = list(zip(*rows)) or [()] * 4
@@ -234,8 +286,8 @@ def _store_rows(docs: DataFrame, wanted: DataFrame, width: int, path: str, bucke
 
         for batch in batches:
             ids = batch["doc_id"].to_numpy()
-            for i in np.flatnonzero(is_wanted(ids, batch["bucket"].to_numpy())).tolist():
-                grams = shingle_hashes(_words(batch["raw"][i].as_py()), width)
+            some = np.flatnonzero(is_wanted(ids, batch["bucket"].to_numpy()))
+            for i, grams in zip(some.tolist(), shingle_hashes(batch["raw"].take(pa.array(some)).to_pylist(), width)):
                 rows.append((int(ids[i]), at, len(grams)))
                 blobs.append(grams.tobytes())
                 at += len(grams)

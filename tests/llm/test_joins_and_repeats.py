@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from matchloom.llm.components import connected_components
-from matchloom.llm.jaccard import Block, jaccard_classes, products, whole_product
+from matchloom.llm.jaccard import Block, jaccard_classes, products, shingle_hashes, whole_product, word_hashes
 from matchloom.llm.substring_dedup import drop_repeats
 
 SCHEMA = "doc_id long, text string, source string, bucket int, id long"
@@ -211,3 +212,34 @@ def test_units_held_are_told_apart_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64 << 20
+
+
+def test_words_are_told_apart_at_every_place_and_length():
+    words = [b"a" * n for n in range(1, 140)] + [b"a" * n + b"\0" for n in range(140)] + [b"a" * n + b"b" + b"a" * (70 - n) for n in range(71)] + ["é\xa0ü".encode(), "日本語".encode(), b"\x1c", b"\x85"]
+    assert len(set(words)) == len(words)
+    hashes = {}
+    for shift in range(9):  # words begin at every place of eight bytes
+        for some in (words, words[::-1]):
+            data = b" " * (1 + shift) + b"\r\n ".join(some)
+            starts, found = word_hashes(data + b" " * (16 + -len(data) % 8))
+            assert [data[a : a + len(w)] for a, w in zip(starts.tolist(), some)] == some and len(found) == len(some)
+            for w, h in zip(some, found.tolist()):
+                assert hashes.setdefault(w, h) == h
+    assert len(set(hashes.values())) == len(words)
+
+
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_sets_of_texts_hashed_together_are_those_of_each(width):
+    rng = random.Random(width)
+    texts = [None, b"", b" \n\t\v\f\r", b"a", b"A b", b"a b c", b" a  B\nc ", "É é\xa0É".encode(), b"x" * 200 + b" y " + b"X" * 200, b"\0 \0\0 \0"]
+    texts += [b" ".join(rng.choice([b"the", b"of", b"Quite-a-long-word" * 3, b"d" * 70]) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    want = []
+    for t in texts:
+        w = (t or b"").lower().split()
+        want.append({b" ".join(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {b" ".join(w)} if w else set())
+    got = shingle_hashes(texts, width)
+    assert [len(s) for s in got] == [len(s) for s in want] and all((s[1:] > s[:-1]).all() for s in got)
+    for i, s in enumerate(got):
+        assert np.array_equal(s, shingle_hashes([texts[i]], width)[0])
+        assert [len(np.intersect1d(s, t)) for t in got[:i]] == [len(want[i] & want[j]) for j in range(i)]
+    assert shingle_hashes([], width) == []
