@@ -269,3 +269,26 @@ def test_encoder_keeps_a_piece_once():
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [plain(t) for t in texts]
     assert set(encoder.pieces) == {"alpha", "alpha.", "beta", "beta,", "gamma", "gamma;", "x", "(alpha)", "b\nc"}
     assert not any(isinstance(x, dict) and "alpha" in x for name, x in vars(encoder).items() if name != "pieces")
+
+
+def test_lines_of_a_word_are_pieces():
+    """No word of several lines is encoded whole, and what is made of such pieces goes with the next texts."""
+    encoder, asked = Encoder(PATH), []
+    joined, one = encoder._encode_joined, encoder._encode
+    encoder._encode_joined = lambda texts, before: asked.extend(before + x for x in texts) or joined(texts, before)
+    encoder._encode = lambda texts: asked.extend(texts) or one(texts)
+    for some in (["x alpha.\nBeta gamma\nDelta"], ["x gamma\nBeta, alpha.\nDelta alpha."], ["x alpha\nDelta. gamma alpha."]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(some)] == [plain(t) for t in some]
+    assert asked and not any("\n" in x[1:] for x in asked) and max(map(asked.count, asked)) <= 3
+    assert "gamma\nDelta" not in encoder.pieces and "alpha." in encoder.pieces
+
+
+def test_encoder_is_the_tokenizer_when_it_forgets(monkeypatch):
+    from matchloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 60)
+    rng, encoder = random.Random(5), Encoder(PATH)
+    words = ["the", "of", "ab.", "c\nd", "e.\n'll", "<|endoftext|>\nx", "f\n<|endoftext|>", "é!\n日本", "g\n\nh", "i\n.j\n", "k\r\nl", "1\n2", "m\xa0\nn", "\u2028\no", "-\n-", "p\n\x1cq"]
+    texts = ODD + [" ".join(rng.choice([*words, f"w{rng.randint(0, 200)}", f"v{rng.choice('abcdefgh')}x.\nW{rng.choice('abcdefgh')}y"]) for _ in range(40)) for _ in range(60)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts, 3)] == [plain(t) for t in texts]
+    assert len(encoder.pieces) + len(encoder.lines) < 60 + 400
