@@ -272,7 +272,7 @@ def test_encoder_keeps_a_piece_once():
 
 
 def test_lines_of_a_word_are_pieces():
-    """No word of several lines is encoded whole, and what is made of such pieces goes with the next texts."""
+    """For op4 and op5: no word of several lines is encoded whole, and what is made of such pieces goes with the next texts."""
     encoder, asked = Encoder(PATH), []
     joined, one = encoder._encode_joined, encoder._encode
     encoder._encode_joined = lambda texts, before: asked.extend(before + x for x in texts) or joined(texts, before)
